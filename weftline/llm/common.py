@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,13 +58,27 @@ def label_sample(rows: DataFrame, label: str, per_label: int, key: str = "doc_id
     )
 
 
-def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = 4096) -> DataFrame:
-    """mapInArrow by slices of at most so many rows, which bounds the memory of one step."""
+def slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose texts have about so many bytes; a longer text is a run of its own."""
+    sizes = np.full(batch.num_rows, 64, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) or pa.types.is_binary(column.type):
+            sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + most, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, most: int = 4 << 20) -> DataFrame:
+    """mapInArrow by slices of about so many bytes of text, which bounds the memory of one step."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                out = function(batch.slice(at, rows))
+            for part in slices(batch, most):
+                out = function(part)
                 if out is not None and out.num_rows:
                     yield out
 

@@ -85,7 +85,7 @@ def _postings(docs: DataFrame, n: int, parts: int) -> DataFrame:
             blobs.append(int(len(body)).to_bytes(4, "little") + int(g[0]).to_bytes(8, "little") + body + pack(t, 6))
         return pa.record_batch({"part": pa.array(ids, pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
-    return map_batches(with_columns(docs, ["text"]), one, "part int, blob binary", rows=10_000)
+    return map_batches(with_columns(docs, ["text"]), one, "part int, blob binary", most=8 << 20)
 
 
 def _shared(postings: DataFrame, regroups: int) -> DataFrame:
@@ -146,7 +146,7 @@ def _heads(sets: DataFrame, regroups: int) -> DataFrame:
             blobs.append(pack(sizes[rows], 6) + b"".join(keys[r] for r in rows))
         return pa.record_batch({"part": pa.array(ids, pa.int32()), "head": pa.array([True] * len(ids)), "blob": pa.array(blobs, pa.binary())})
 
-    return map_batches(sets.select("key", "n_shingles"), one, "part int, head boolean, blob binary", rows=10_000)
+    return map_batches(sets.select("key", "n_shingles"), one, "part int, head boolean, blob binary")
 
 
 def _survivors(rows: DataFrame, share: int) -> DataFrame:

@@ -20,7 +20,7 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
 _LANE = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_CHUNK = 1 << 22
+_CHUNK = 1 << 19
 
 
 def _powers(base: int, n: int) -> np.ndarray:
