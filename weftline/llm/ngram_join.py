@@ -27,6 +27,10 @@ _BITS = 48
 POSTINGS_PER_FRAGMENT = 1_500_000
 #: Fragments of one set in which a pair's partial overlaps are counted.
 OVERLAP_FRAGMENTS = 4
+#: Rounds of leaders at most, and pairs for each posting up to which the pairs still apart are simply tried.
+#: Neither bounds what is found: all pairs that stay apart are tried in the end.
+ROUNDS = 6
+PAIRS_PER_POSTING = 1
 
 
 def _keys(sets: list[np.ndarray]) -> list[bytes | None]:
@@ -225,25 +229,42 @@ def near_duplicate_links(docs: DataFrame, members: DataFrame, n: int, share: int
     segments = stage(_segments(survivors, OVERLAP_FRAGMENTS), "ngram-segments")
     prefix = stage(
         survivors.select("key", "n", (F.col("n") - F.size("grams")).alias("alone"), F.posexplode("prefix").alias("place", "gram")).select(
-            "key", "n", "gram", (F.col("alone") + F.col("place")).alias("at"), F.floor(F.log(F.col("n")) / math.log(100 / share)).cast("int").alias("band")
+            "key", "n", "alone", "gram", (F.col("alone") + F.col("place")).alias("at"), F.floor(F.log(F.col("n")) / math.log(100 / share)).cast("int").alias("band")
         ),
         "ngram-prefix",
     )
-    # First each set meets the smallest of its n-gram's sets of about its own size: this joins up groups of many copies.
-    leaders = prefix.groupBy("gram", "band").agg(F.min(F.struct("key", "n", "at")).alias("leader"), F.count("*").alias("sets")).where("sets > 1")
-    near = prefix.join(leaders, ["gram", "band"]).select(
-        F.col("leader.key").alias("a"), F.col("leader.n").alias("n_a"), F.col("leader.at").alias("at_a"), F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b")
-    )
-    first = stage(_linked(near.where((F.col("a") != F.col("b")) & _reach(share)).select("a", "b").distinct(), segments, share), "ngram-links")
-    # Then every candidate pair that is not joined up already.
-    roots = components(first, "ngram-first")
-    placed = prefix.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    mixed = placed.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(F.col("low") != F.col("high")).select("gram")
-    placed = stage(placed.join(mixed, "gram").select("gram", "key", "n", "at", "root"), "ngram-open")
-    one = placed.select("gram", F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("root").alias("root_a"))
-    two = placed.select("gram", F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), F.col("root").alias("root_b"))
+    # Rounds: each set meets a leader among the sets with an n-gram in common (later rounds: a leader for each n-gram), of another group and about its own
+    # size; groups of many copies join up in pairs as many as their rows.  Then every candidate pair still apart.
+    links = prefix.sparkSession.createDataFrame([], "a binary, b binary")
+    roots = prefix.sparkSession.createDataFrame([], "node binary, root binary")
+    postings = prefix.count()
+    for turn in range(ROUNDS):
+        placed = prefix.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+        mixed = placed.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(F.col("low") != F.col("high")).select("gram")
+        apart = stage(placed.join(mixed, "gram"), "ngram-apart")
+        if turn and _pairs_apart(apart) <= PAIRS_PER_POSTING * postings:
+            break
+        # the set with the fewest n-grams of its own is likeliest near the others; every other round another, by chance
+        order = F.struct(*([] if turn % 2 else ["alone"]), F.xxhash64("key", *(["gram"] if turn else []), F.lit(turn)), "key", "n", "at", "root")
+        leaders = apart.groupBy("gram", "band").agg(F.min(order).alias("leader"))
+        near = apart.join(leaders, ["gram", "band"]).where(F.col("leader.root") != F.col("root")).select(
+            F.col("leader.key").alias("a"), F.col("leader.n").alias("n_a"), F.col("leader.at").alias("at_a"), F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b")
+        )
+        found = stage(_linked(near.where(_reach(share)).select("a", "b").distinct(), segments, share), "ngram-links")
+        if not found.limit(1).count():
+            break
+        links = links.unionByName(found)
+        roots = components(links, "ngram-roots")
+    one = apart.select("gram", F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("root").alias("root_a"))
+    two = apart.select("gram", F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), F.col("root").alias("root_b"))
     rest = one.join(two, (one["gram"] == two["gram"]) & (F.col("root_a") < F.col("root_b")) & _reach(share)).select("a", "b").distinct()
-    return first.unionByName(_linked(rest, segments, share))
+    return links.unionByName(_linked(rest, segments, share))
+
+
+def _pairs_apart(apart: DataFrame) -> int:
+    """An upper bound of the pairs of sets in different groups that share an n-gram, counted for each n-gram."""
+    sizes = apart.groupBy("gram", "root").count().groupBy("gram").agg(F.sum("count").alias("s"), F.sum(F.col("count") * F.col("count")).alias("q"))
+    return sizes.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0
 
 
 def ngram_jaccard_components(docs: DataFrame, n: int = 5, share: int = 75) -> DataFrame:
