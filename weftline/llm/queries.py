@@ -5,7 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .common import held_out
+from .language_id import fit_language_id, identify_language
+from .mixing import mix_sources
 from .ngram_join import ngram_jaccard_components
 
 
@@ -13,12 +17,23 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return identify_language(docs, fit_language_id(docs.where(~held_out(F.col("doc_id")))))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_components(_read(spark, sf_dir, "documents"), n=5, share=75)
 
 
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_read(spark, sf_dir, "documents"), weights=[1.0, 2.0, 3.0], epochs=3, seed=42).drop("source")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op9_mix_sources": op9_mix_sources,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -43,5 +58,29 @@ with recursive words as (
 )
 select s.doc_id, cast(len(any_value(s.g)) as bigint) n_shingles, least(s.doc_id, coalesce(min(r.b), s.doc_id)) component_id
 from sets s left join reach r on r.a = s.doc_id group by s.doc_id
+""",
+    "op9_mix_sources": r"""
+with sized as (
+  select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) size,
+    cast('0x' || substr(md5('42:' || coalesce(cast(doc_id as varchar), 'null')), 1, 12) as bigint) k
+  from documents
+), totals as (
+  select source, cast(sum(size) as bigint) source_size, row_number() over (order by source is null, source) i from sized group by source
+), caps as (
+  select *, cast((i - 1) % 3 + 1 as double) weight, cast(source_size as double) * 3 cap, cast(source_size as double) * 3 / cast((i - 1) % 3 + 1 as double) f from totals
+), levels as (
+  select *, (cast(sum(source_size) over () as double) - coalesce(sum(cap) over (order by f, weight, i rows between unbounded preceding and 1 preceding), 0))
+    / sum(weight) over (order by f, weight, i rows between current row and unbounded following) lev
+  from caps
+), plan as (
+  select *, least(cap, (select arg_min(lev, f) from levels where lev <= f) * weight) target from levels
+), cuts as (
+  select *, case when source_size > 0 then least(cast(floor(target / source_size) as bigint), 3) else 0 end rounds from plan
+), run as (
+  select s.doc_id, s.size, c.source_size, c.target, c.rounds, greatest(cast(floor(c.target) as bigint) - c.rounds * c.source_size, 0) rest,
+    coalesce(sum(s.size) over (partition by s.source order by s.k, s.doc_id, s.size rows between unbounded preceding and 1 preceding), 0) before
+  from sized s join cuts c on s.source is not distinct from c.source
+)
+select doc_id, size, source_size, target, cast(rounds * size + least(greatest(rest - before, 0), size) as bigint) taken from run
 """,
 }
