@@ -11,6 +11,8 @@ from .common import held_out
 from .language_id import fit_language_id, identify_language
 from .mixing import mix_sources
 from .ngram_join import ngram_jaccard_components
+from .quality import fit_quality, score_quality
+from .toxicity import fit_toxicity, score_toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -26,6 +28,16 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_components(_read(spark, sf_dir, "documents"), n=5, share=75)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    return score_toxicity(docs, fit_toxicity(docs, labels), threshold=0.5)
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    return score_quality(docs, fit_quality(docs, labels), threshold=0.3)
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_read(spark, sf_dir, "documents"), weights=[1.0, 2.0, 3.0], epochs=3, seed=42).drop("source")
 
@@ -33,6 +45,8 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op6_toxicity": op6_toxicity,
+    "op7_quality": op7_quality,
     "op9_mix_sources": op9_mix_sources,
 }
 

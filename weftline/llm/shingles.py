@@ -95,17 +95,18 @@ def word_spans(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
-    """A 64-bit hash of each span of bytes; with fold, A-Z count as a-z."""
+    """A 64-bit hash of each span of bytes, the spans in order of their starts; with fold, A-Z count as a-z."""
     if not len(starts):
         return np.empty(0, np.uint64)
     out = np.empty(len(starts), np.uint64)
     table = _BYTE_LOWER if fold else _BYTE
+    reach = np.maximum.accumulate(ends)
     with np.errstate(over="ignore"):
         at = 0
         while at < len(starts):
             low = starts[at]
-            to = max(at + 1, int(np.searchsorted(ends, low + _CHUNK, side="right")))
-            high = ends[to - 1]
+            to = max(at + 1, int(np.searchsorted(reach, low + _CHUNK, side="right")))
+            high = reach[to - 1]
             up, down = _tables(int(high - low) + 1)
             total = np.empty(int(high - low) + 1, np.uint64)
             total[0] = 0
