@@ -72,7 +72,7 @@ def slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
         at = to
 
 
-def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, most: int = 4 << 20) -> DataFrame:
+def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema, most: int = 4 << 20) -> DataFrame:
     """mapInArrow by slices of about so many bytes of text, which bounds the memory of one step."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

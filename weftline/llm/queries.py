@@ -7,12 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .chat_format import all_turns, format_digests
+from .common import held_out, stage
+from .decontaminate import contaminated_passages
+from .html_text import extract_main_text
 from .language_id import fit_language_id, identify_language
 from .mixing import mix_sources
 from .ngram_join import ngram_jaccard_components
 from .quality import fit_quality, score_quality
+from .token_rollup import TokenRollup, count_tokens, inserts, revisions
+from .tokenizer import DEFAULT_VOCABULARY, read_vocabulary
 from .toxicity import fit_toxicity, score_toxicity
+from .vector_search import nearest_neighbours
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -28,6 +34,18 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_components(_read(spark, sf_dir, "documents"), n=5, share=75)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated_passages(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), least=0.5)
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(_read(spark, sf_dir, "pages"))
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_digests(all_turns(_read(spark, sf_dir, "conversations")), read_vocabulary(DEFAULT_VOCABULARY))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
     return score_toxicity(docs, fit_toxicity(docs, labels), threshold=0.5)
@@ -38,16 +56,40 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, fit_quality(docs, labels), threshold=0.3)
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loads all documents with counts guessed from their length, revises them to true counts, and repeats a batch, which does nothing."""
+    version = "byte_bpe_50k"
+    docs = _read(spark, sf_dir, "documents")
+    guessed = docs.select("source", "lang", F.coalesce(F.col("n_chars"), F.lit(0)).cast("long").alias("n_tokens"))
+    counted = stage(count_tokens(docs, read_vocabulary(DEFAULT_VOCABULARY)), "token-counts")
+    rollup = TokenRollup(spark)
+    rollup.commit("load", inserts(guessed, version))
+    rollup.commit("count", revisions(guessed, counted, version))
+    rollup.commit("load", inserts(guessed, version))
+    rollup.compact()
+    return rollup.totals()
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_read(spark, sf_dir, "documents"), weights=[1.0, 2.0, 3.0], epochs=3, seed=42).drop("source")
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    return nearest_neighbours(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_decontamination": op3_decontamination,
+    "op4_html_extraction": op4_html_extraction,
+    "op5_chat_format": op5_chat_format,
     "op6_toxicity": op6_toxicity,
     "op7_quality": op7_quality,
+    "op8_token_counts": op8_token_counts,
     "op9_mix_sources": op9_mix_sources,
+    "op10_nearest_neighbours": op10_nearest_neighbours,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
