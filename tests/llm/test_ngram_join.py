@@ -1,7 +1,7 @@
 import random
 import re
 
-from weftline.llm.ngram_join import ngram_jaccard_components
+from weftline.llm.ngram_join import drop_near_duplicates, ngram_jaccard_components
 
 SCHEMA = "doc_id long, text string, key string, n long, part int"
 
@@ -75,3 +75,22 @@ def test_empty_table_and_long_text(spark):
     assert run(spark, []) == []
     long = " ".join(f"w{i % 5000}" for i in range(60_000))
     assert run(spark, [(2, long), (1, long + " end")]) == brute([(2, long), (1, long + " end")])
+
+
+def test_one_row_of_each_group_stays(spark):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(200)]
+    rows = []
+    for _ in range(40):
+        text = [rng.choice(words) for _ in range(40)]
+        for _ in range(rng.randrange(1, 4)):
+            text = [*text[:5], rng.choice(words), *text[6:]]
+            rows.append((len(rows), " ".join(text)))
+    plain = [(*r, "x", 1, 2) for r in rows]
+    stay = {c for _, _, c in brute(rows)}
+    assert sorted(r.doc_id for r in drop_near_duplicates(spark.createDataFrame(plain, SCHEMA)).collect()) == sorted(stay)
+    odd = [(0, rows[0][1]), (None, "only here " * 3), (None, "only here " * 3), (None, rows[5][1]), (700, None), (700, ""), (701, "a b c d e f"), (701, "a b c d e f"), (701, "g h i j k l")]
+    got = drop_near_duplicates(spark.createDataFrame([*plain, *[(*r, "x", 1, 2) for r in odd]], SCHEMA)).collect()
+    want = [*sorted(stay), None, 700, 700, 701, 701]
+    assert sorted(map(str, (r.doc_id for r in got))) == sorted(map(str, want)) and got[0].part == 2
+    assert drop_near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []

@@ -85,6 +85,25 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBat
     return df.mapInArrow(run, schema)
 
 
+#: Rows of ids that may be broadcast: their size is then at most some tens of MB.
+BROADCAST_ROWS = 2_000_000
+
+
+def small(ids: DataFrame) -> DataFrame:
+    """ids, marked for broadcast if a count shows that they are few; else they are joined by shuffling."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
+
+
+def keep_rows(docs: DataFrame, columns: list[str], keep: Callable[[pa.RecordBatch], np.ndarray], most: int = 4 << 20) -> DataFrame:
+    """The rows of docs, with all their columns, for which keep (given the named columns of a batch) says so."""
+    places = [docs.columns.index(c) for c in columns]
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array(keep(batch.select(places)), pa.bool_()))
+
+    return map_batches(docs, one, docs.schema, most)
+
+
 def pack(values: np.ndarray, width: int | None = None) -> bytes:
     """Unsigned integers as one byte of width and so many little-endian bytes each."""
     values = np.ascontiguousarray(values, dtype="<u8")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, slices, stage, with_columns
+from .common import keep_rows, map_batches, slices, stage, with_columns
 from .shingles import shingle_hashes, span_hashes, text_bytes, word_spans
 
 #: Words of a seed; alignment scores; the words that an alignment must at least be worth.
@@ -226,14 +226,13 @@ def contaminated_passages(docs: DataFrame, benchmark: DataFrame, least: float =
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of docs, with all their columns, that hold a copy of no benchmark item (as contaminated_passages finds them)."""
-    place = docs.columns.index("text")
     for bench in _parts(docs, benchmark):
         sent = docs.sparkSession.sparkContext.broadcast(bench)
 
-        def one(batch: pa.RecordBatch, sent=sent) -> pa.RecordBatch:
+        def clean(batch: pa.RecordBatch, sent=sent) -> np.ndarray:
             keep = np.ones(batch.num_rows, bool)
-            keep[[m[0] for m in _matches(sent.value, batch.column(place), least)]] = False
-            return batch.filter(pa.array(keep))
+            keep[[m[0] for m in _matches(sent.value, batch.column(0), least)]] = False
+            return keep
 
-        docs = map_batches(docs, one, docs.schema)
+        docs = keep_rows(docs, ["text"], clean)
     return docs

@@ -14,10 +14,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, label_sample, map_batches, with_columns
+from .common import held_out, keep_rows, label_sample, map_batches, with_columns
 from .shingles import _LOWER, text_bytes
 
 UNKNOWN = "und"
@@ -211,3 +212,23 @@ def identify_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
         )
 
     return map_batches(rows, one, "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double", most=1 << 20)
+
+
+def in_known_language(docs: DataFrame, model: LanguageModel, most_bits: float = 7.6) -> DataFrame:
+    """The rows of docs, with all their columns, that identify_language doesn't call und and codes in fewer bits a byte than most_bits.
+
+    That is little under the 8 bits of unknown bytes, so it keeps any text that
+    has to do with a language of the model, junk and mixtures included.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    letter = regex.compile(r"\p{L}")
+
+    def known(batch: pa.RecordBatch) -> np.ndarray:
+        raw, offs = text_bytes(batch.column(0))
+        if not sent.value.languages:
+            return np.zeros(batch.num_rows, bool)
+        low = sent.value.bits(raw, offs).min(axis=1) / np.maximum(1, np.diff(offs))
+        letters = np.array([bool(t and letter.search(t)) for t in batch.column(0).to_pylist()], bool)
+        return letters & (low < most_bits)
+
+    return keep_rows(docs, ["text"], known, most=1 << 20)

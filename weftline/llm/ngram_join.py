@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import map_batches, pack, stage, unpack, with_columns
+from .common import map_batches, pack, small, stage, unpack, with_columns
 from .components import components
 from .shingles import shingle_sets
 
@@ -280,12 +281,49 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 5, share: int = 75) -> Da
     N-grams are compared by 64-bit hash, 48 bits of it in the counting of
     overlaps; no prefix, cap or sample is applied.
     """
-    docs = with_columns(docs, ["doc_id", "text"])
+    members, found = _grouped(with_columns(docs, ["doc_id", "text"]), n, share)
+    low = found.groupBy("root").agg(F.min("least").alias("component"))
+    found = found.join(low, "root").select("key", "component")
+    return members.join(found, "key", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def _grouped(docs: DataFrame, n: int, share: int) -> tuple[DataFrame, DataFrame]:
+    """set_members of docs, and (key, least doc_id, root) for each distinct set."""
     members = stage(set_members(docs, n), "ngram-members")
     links = stage(near_duplicate_links(docs, members, n, share), "ngram-all-links")
     groups = members.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("least"))
     nodes = components(links, "ngram-all")
     found = groups.join(nodes.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    low = found.groupBy("root").agg(F.min("least").alias("component"))
-    found = found.join(low, "root").select("key", "component")
-    return members.join(found, "key", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return members, stage(found, "ngram-groups")
+
+
+def drop_near_duplicates(docs: DataFrame, n: int = 5, share: int = 75) -> DataFrame:
+    """The rows of docs, with all their columns, of which each group of ngram_jaccard_components keeps one.
+
+    The one that stays has the smallest doc_id of the group (null last); of
+    several rows with that id, the one of least set key, any of equal ones.  Rows
+    with an empty set all stay.  Ids that are not null and not repeated, which
+    is to say nearly all, are dropped by an anti join, broadcast only if counted
+    few, so texts needn't be shuffled.
+    """
+    members, found = _grouped(with_columns(docs, ["doc_id", "text"]), n, share)
+    sets = members.where(F.col("key").isNotNull()).join(found.select("key", "root"), "key")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    kept = sets.groupBy("root").agg(F.min(order).alias("one")).select("one.doc_id", "one.key")
+    repeated = stage(members.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id"), "ngram-repeated")
+    goes = stage(sets.join(kept, ["doc_id", "key"], "left_anti").where(F.col("doc_id").isNotNull()).select("doc_id").unionByName(repeated).distinct(), "ngram-dropped")
+    out = docs.where(F.col("doc_id").isNotNull()).join(small(goes), "doc_id", "left_anti").select(docs.columns)
+    if not repeated.limit(1).count() and not members.where(F.col("doc_id").isNull()).limit(1).count():
+        return out
+    odd = docs.where(F.col("doc_id").isNull()).unionByName(docs.join(small(repeated), "doc_id", "left_semi").select(docs.columns))
+    place = docs.columns.index("text")
+
+    def with_key(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keys = _keys(list(shingle_sets(batch.column(place), n)))
+        return batch.append_column("__set_key", pa.array(keys, pa.binary()))
+
+    odd = map_batches(odd, with_key, T.StructType([*docs.schema.fields, T.StructField("__set_key", T.BinaryType())]))
+    chosen = kept.select(F.col("doc_id").alias("__kept_id"), F.col("key").alias("__kept_key"))
+    blank = odd.where(F.col("__set_key").isNull()).select(docs.columns)
+    one = odd.join(chosen, F.col("doc_id").eqNullSafe(F.col("__kept_id")) & (F.col("__set_key") == F.col("__kept_key")), "left_semi")
+    return out.unionByName(blank).unionByName(one.dropDuplicates(["doc_id", "__set_key"]).select(docs.columns))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, map_batches, with_columns
+from .common import held_out, keep_rows, map_batches, with_columns
 from .labels import labelled_texts
 from .shingles import span_hashes, text_bytes, word_spans
 
@@ -324,10 +324,10 @@ def train_toxicity(rows: list[tuple[str, int]], landmarks: int = 512, rounds: in
                 worst = own[margin[own].argmax()]
                 if margin[worst] > 0.5 and not clean[worst]:
                     positive.add(texts.words[worst])
-    # The score is one half where the fewest texts are wrong, a clean one counted ten times: in the middle of that range.
+    # The score is one half where the fewest texts are wrong, a clean one counted four times: in the middle of that range.
     margin = np.concatenate([model.margins(pa.array([r[0] for r in rows[a : a + 500]], pa.large_string())) for a in range(0, len(rows), 500)])
     tries = np.linspace(-1.0, 1.5, 251)
-    wrong = np.array([(margin[bad] < t).sum() + 10 * (margin[~bad] >= t).sum() * bad.sum() / (~bad).sum() for t in tries])
+    wrong = np.array([(margin[bad] < t).sum() + 4 * (margin[~bad] >= t).sum() * bad.sum() / (~bad).sum() for t in tries])
     best = tries[wrong == wrong.min()]
     model.slope = 6.0
     model.offset = float(-model.slope * best.mean())
@@ -355,3 +355,9 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5
         return pa.record_batch({"doc_id": batch.column(0), "held_out": batch.column(1), "score": pa.array(score), "predicted": pa.array((score >= threshold).astype(np.int32))})
 
     return map_batches(rows, one, "doc_id long, held_out boolean, score double, predicted int", most=8 << 20)
+
+
+def without_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, whose score_toxicity is under threshold."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    return keep_rows(docs, ["text"], lambda batch: sent.value.score(batch.column(0)) < threshold, most=8 << 20)
