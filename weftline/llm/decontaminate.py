@@ -96,7 +96,7 @@ def _frequencies(docs: DataFrame, seeds: np.ndarray) -> np.ndarray:
         seeds = sent.value
         total = np.zeros(len(seeds), np.int64)
         for batch in batches:
-            for part in slices(batch, 4 << 20):
+            for part in slices(batch, 2 << 20):
                 grams, at = _doc_seeds(*normal_words(part.column(0)))
                 row = np.repeat(np.arange(len(at) - 1), np.diff(at))
                 place = np.minimum(np.searchsorted(seeds, grams), len(seeds) - 1)

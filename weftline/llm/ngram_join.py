@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches, pack, small, stage, unpack, with_columns
+from .common import give_back, map_batches, pack, small, stage, unpack, with_columns
 from .components import components
 from .shingles import shingle_sets
 
@@ -90,7 +90,7 @@ def _postings(docs: DataFrame, n: int, parts: int) -> DataFrame:
             blobs.append(int(len(body)).to_bytes(4, "little") + int(g[0]).to_bytes(8, "little") + body + pack(t, 6))
         return pa.record_batch({"part": pa.array(ids, pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
-    return map_batches(with_columns(docs, ["text"]), one, "part int, blob binary", most=8 << 20)
+    return map_batches(with_columns(docs, ["text"]), one, "part int, blob binary", most=4 << 20)
 
 
 def _shared(postings: DataFrame, regroups: int) -> DataFrame:
@@ -130,6 +130,7 @@ def _shared(postings: DataFrame, regroups: int) -> DataFrame:
             body = pack(tag[cut], 6) + pack(gram[cut], 6) + pack(rank[cut], 1)
             ids.append(int(g))
             blobs.append(body)
+        give_back()
         return pa.table({"part": pa.array(ids, pa.int32()), "head": pa.array([False] * len(ids)), "blob": pa.array(blobs, pa.binary())})
 
     return postings.groupBy("part").applyInArrow(fragment, "part int, head boolean, blob binary")
@@ -183,6 +184,7 @@ def _survivors(rows: DataFrame, share: int) -> DataFrame:
                 out["n"].append(n)
                 out["grams"].append(np.sort(own))
                 out["prefix"].append(own[: max(0, reach - alone)])
+        give_back()
         longs = pa.list_(pa.int64())
         return pa.table({"key": pa.array(out["key"], pa.binary()), "n": pa.array(out["n"], pa.int64()), "grams": pa.array(out["grams"], longs), "prefix": pa.array(out["prefix"], longs)})
 
