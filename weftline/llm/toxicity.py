@@ -18,13 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, keep_rows, map_batches, with_columns
+from .common import give_back, held_out, keep_rows, map_batches, with_columns
 from .labels import labelled_texts
 from .shingles import span_hashes, text_bytes, word_spans
 
 DECAY, SPAN = 0.7, 6
 #: Letters that one window of a word has at most; longer words are read in windows that overlap by half.
 WINDOW = 16
+#: Rows of each label that the machine learns from, about.
+SAMPLE_ROWS = 2000
 _EDGE = 31
 _STEPS = [(i, j) for j in range(2, SPAN) for i in range(1, j)]
 _WEIGHT = np.array([DECAY ** (j + 1) for _, j in _STEPS])
@@ -142,8 +144,9 @@ def features(grid: np.ndarray, length: np.ndarray) -> np.ndarray:
     out = np.zeros((len(grid), 32**3), np.float32)
     for weight, fits, triple in _triples(grid, length):
         line = np.broadcast_to(np.arange(len(grid))[:, None], fits.shape)
-        np.add.at(out, (line[fits], triple[fits]), weight)
-    return out / _NORM[length][:, None]
+        np.add.at(out, (line[fits], triple[fits]), np.float32(weight))
+    out /= _NORM[length][:, None].astype(np.float32)
+    return out
 
 
 @dataclass
@@ -254,35 +257,47 @@ def _spread(word: bytes, rng: np.random.Generator, copies: int = 3) -> list[byte
 
 def _machine(words: np.ndarray, y: np.ndarray, cost: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, float]:
     """Squared-hinge machine on the chosen landmarks' kernel values; folded into (weight of each triple, bias)."""
-    phi_l = features(*_grid(words[chosen]))
-    by_triple = np.ascontiguousarray(phi_l.T)
+    phi_l = np.concatenate([features(*_grid(words[chosen[a : a + 64]])) for a in range(0, len(chosen), 64)])
+    used = np.flatnonzero(phi_l.any(axis=0))
+    phi_l = phi_l[:, used]
+    column = np.full(32**3, len(used), np.int32)
+    column[used] = np.arange(len(used))
+    by_triple = np.concatenate([phi_l.T, np.zeros((1, len(chosen)), np.float32)])
     k = np.zeros((len(words), len(chosen)), np.float32)
     for at in range(0, len(words), 512):
         grid, length = _grid(words[at : at + 512])
         for weight, fits, triple in _triples(grid, length):
             for place in np.flatnonzero(fits.any(axis=0)):
                 line = np.flatnonzero(fits[:, place])
-                k[at + line] += np.float32(weight) * by_triple[triple[line, place]]
+                k[at + line] += np.float32(weight) * by_triple[column[triple[line, place]]]
         k[at : at + 512] /= _NORM[length][:, None]
     values, vectors = np.linalg.eigh((phi_l @ phi_l.T).astype(float))
     good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
-    z = np.c_[k @ root, np.ones(len(k))]
+    z = np.c_[k @ root.astype(np.float32), np.ones(len(k), np.float32)]
+    del k, by_triple
     w = np.zeros(z.shape[1])
     ridge = np.eye(len(w))
     ridge[-1, -1] = 1e-6
     active = np.ones(len(y), bool)
     for _ in range(30):
-        za = z[active]
-        w = np.linalg.solve(ridge + (za * cost[active, None]).T @ za, (za * cost[active, None]).T @ y[active])
+        left, right = ridge.copy(), np.zeros(len(w))
+        for at in range(0, len(y), 1024):
+            on = np.flatnonzero(active[at : at + 1024]) + at
+            part = z[on].astype(np.float64)
+            left += (part * cost[on, None]).T @ part
+            right += (part * cost[on, None]).T @ y[on]
+        w = np.linalg.solve(left, right)
         now = y * (z @ w) < 1
         if (now == active).all():
             break
         active = now
-    return (root @ w[:-1]) @ phi_l, float(w[-1])
+    weights = np.zeros(32**3)
+    weights[used] = (root @ w[:-1]) @ phi_l
+    return weights, float(w[-1])
 
 
-def train_toxicity(rows: list[tuple[str, int]], landmarks: int = 512, rounds: int = 3, penalty: float = 10_000.0, seed: int = 3) -> ToxicityModel:
+def train_toxicity(rows: list[tuple[str, int]], landmarks: int = 384, rounds: int = 3, penalty: float = 10_000.0, seed: int = 3) -> ToxicityModel:
     """The machine learned from labelled texts; a text's label says that some word of it is an insult, not which.
 
     First the words that mark toxic texts are sought by their counts; each round trains on them against words of clean
@@ -336,7 +351,9 @@ def train_toxicity(rows: list[tuple[str, int]], landmarks: int = 512, rounds: in
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     """The machine trained on the bounded sample that labelled_texts gives."""
-    return train_toxicity(labelled_texts(docs, labels, "toxic"))
+    model = train_toxicity(labelled_texts(docs, labels, "toxic", SAMPLE_ROWS))
+    give_back()
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:
@@ -354,10 +371,10 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5
         score = sent.value.score(batch.column(2))
         return pa.record_batch({"doc_id": batch.column(0), "held_out": batch.column(1), "score": pa.array(score), "predicted": pa.array((score >= threshold).astype(np.int32))})
 
-    return map_batches(rows, one, "doc_id long, held_out boolean, score double, predicted int", most=8 << 20)
+    return map_batches(rows, one, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def without_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:
     """The rows of docs, with all their columns, whose score_toxicity is under threshold."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    return keep_rows(docs, ["text"], lambda batch: sent.value.score(batch.column(0)) < threshold, most=8 << 20)
+    return keep_rows(docs, ["text"], lambda batch: sent.value.score(batch.column(0)) < threshold)
