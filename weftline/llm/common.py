@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.workers import reachable
+
 #: A word, as the contracts of the operators give it.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -92,6 +94,7 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBat
                     yield out
         give_back()
 
+    reachable(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
