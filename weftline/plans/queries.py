@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import scalars as S
 from weftline.operators import relational as R
+from weftline.workers import reachable
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -20,6 +21,7 @@ def query(sql: str, *tables: str) -> Callable[[Callable[..., DataFrame]], Query]
 
     def register(function: Callable[..., DataFrame]) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            reachable(spark)
             return function(*[spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables])
 
         QUERIES[function.__name__] = run
@@ -430,3 +432,50 @@ def two_edge_chain(lineitem, orders, customer):
 @query("select event_id, json_extract_string(props, '$.k') k from events", "events")
 def json_field(events):
     return events.select("event_id", F.get_json_object("props", "$.k").alias("k"))
+
+
+@query("select doc_id, cast(strlen(text) as bigint) n_bytes, true restored, cast(0 as bigint) differing from documents where text is not null", "documents")
+def xor_delta_roundtrip(documents):
+    """Each text against a pad of its own length, made of its digest: delta, then text again, byte for byte."""
+    from weftline.operators.bytes import nonzero_column, xor_column
+
+    n = F.octet_length("text")
+    pad = F.left(F.repeat(digest("text"), F.ceil(n / 64.0).cast("int")), n).cast("binary")
+    rows = documents.where("text is not null").select("doc_id", F.col("text").cast("binary").alias("bytes"), pad.alias("pad"))
+    rows = rows.withColumn("delta", xor_column("bytes", "pad")).withColumn("again", xor_column("delta", "pad"))
+    same = nonzero_column(xor_column("again", "bytes"))
+    return rows.select("doc_id", F.octet_length("bytes").cast("long").alias("n_bytes"), (F.col("again") == F.col("bytes")).alias("restored"), same.alias("differing"))
+
+
+@query("select doc_id, sha256(text) digest, true ok from documents where text is not null", "documents")
+def blob_roundtrip_verify(documents):
+    """Each text compressed, and decompressed to the same digest."""
+    from weftline.operators.bytes import deflate_column, inflate_column
+
+    rows = documents.where("text is not null").select("doc_id", digest("text").alias("digest"), deflate_column(F.col("text").cast("binary")).alias("blob"))
+    return rows.select("doc_id", "digest", (F.sha2(inflate_column("blob"), 256) == F.col("digest")).alias("ok"))
+
+
+@query(
+    """select doc_id, case when lang = 'fr' then 'subject: unsafe name' when lang = 'de' then 'malformed quantType' when lang = 'es' then 'reDerivedDigest isn''t the subject''s: the statement contradicts itself' else '' end reasons
+    from documents where text is not null""",
+    "documents",
+)
+def statement_verify(documents):
+    """A statement of derivation for each document, some of them broken, through the validation rules."""
+    from weftline.plans.statements import DERIVATION, STATEMENT, check_statements
+
+    sha, lang = digest("text"), F.col("lang")
+    pin = lambda d: F.struct(d.alias("sha256")).alias("digest")
+    subject = F.struct(F.when(lang == "fr", "../x").otherwise("x.gguf").alias("name"), pin(sha))
+    recipe = F.struct(F.when(lang == "de", "--evil").otherwise("Q8_0").alias("quantType"), F.lit(False).alias("useImatrix"))
+    again = F.struct(F.when(lang == "es", F.sha2("lang", 256)).otherwise(sha).alias("sha256"))
+    predicate = F.struct(
+        F.struct(F.lit("b.gguf").alias("name"), pin(sha)).alias("baseModel"),
+        recipe.alias("recipe"),
+        F.struct(F.struct(sha.alias("binarySha256")).alias("buildIdentity")).alias("builder"),
+        F.struct(again.alias("reDerivedDigest")).alias("reproducibility"),
+    )
+    text = F.to_json(F.struct(F.lit(STATEMENT).alias("_type"), F.lit(DERIVATION).alias("predicateType"), F.array(subject).alias("subject"), predicate.alias("predicate")))
+    rows = documents.where("text is not null").select("doc_id", text.alias("text"))
+    return check_statements(rows, DERIVATION).select("doc_id", F.array_join("reasons", "; ").alias("reasons"))
