@@ -94,3 +94,26 @@ def test_edges(spark):
     empty, none = docs.limit(0), bench.limit(0)
     assert D.contaminated_passages(empty, bench).collect() == [] == D.contaminated_passages(docs, none).collect()
     assert D.without_contaminated(docs, none).count() == len(rows)
+
+
+def test_edited_copies_in_many_rows_against_brute_force(spark):
+    rng = random.Random(11)
+    items = [(i, text(rng, 40)) for i in range(5)]
+    edited = []
+    for (_, t), every in zip(items[:4], (4, 4, 5, 4), strict=True):
+        edited.append([w if k % every < every - 1 else "Ööö" for k, w in enumerate(t.split())])
+    edited.append(items[4][1].split()[:24])
+    rows = []
+    for d in range(1000):
+        words = text(rng, 12).split()
+        # 0.3 %, 1 %, 1 %, and a third of the rows, and one part of an item in 1 %
+        for i, here in enumerate((d % 333 == 5, d % 100 == 7, d % 100 == 8, d % 3 == 0, d % 100 == 9)):
+            if here:
+                words[6:6] = edited[i]
+        rows.append((d, " ".join(words), "s", 1))
+    docs, bench = frames(spark, rows, items)
+    words = lambda t: D.normal_words(pa.array([t]))[0].tolist()
+    want = {(d[0], i[0]): p / 80 for d in rows for i in items if (p := plain(words(i[1]), words(d[1]))) >= 40}
+    assert {i: sum(k[1] == i for k in want) for i in range(5)} == {0: 3, 1: 10, 2: 10, 3: 334, 4: 10}
+    assert {(r.doc_id, r.item_id): r.score for r in D.contaminated_passages(docs, bench).collect()} == want
+    assert {r.doc_id for r in D.without_contaminated(docs, bench).collect()} == set(range(1000)) - {d for d, _ in want}

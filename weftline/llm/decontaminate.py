@@ -1,4 +1,9 @@
-"""Benchmark decontamination: rare word n-grams seed pairs of passage and item, Smith-Waterman alignment scores them."""
+"""Benchmark decontamination: word n-grams seed pairs of passage and item, Smith-Waterman alignment scores them.
+
+No seed is left out for being common, as a passage that many rows share makes
+its own seeds common.  Pairs that share common words only are told before the
+alignment, by a bound that no alignment of theirs can exceed.
+"""
 
 from __future__ import annotations
 
@@ -10,15 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_rows, map_batches, slices, stage, with_columns
+from .common import keep_rows, map_batches, stage, with_columns
 from .shingles import shingle_hashes, span_hashes, text_bytes, word_spans
 
 #: Words of a seed; alignment scores; the words that an alignment must at least be worth.
 SEED, MATCH, MISS, GAP, LEAST_WORDS = 3, 2, -1, 1, 8
 #: Bytes of benchmark text that are held by each task at a time; a larger benchmark is done in so many parts.
 BENCHMARK_BYTES = 4 << 20
-#: A seed is rare if its texts outnumber those of its item's rarest seed by at most this share of all.
-RARE_SHARE = 0.002
+#: Words of the windows that are taken in one step, about.
+GRID_WORDS = 1 << 18
 
 _KEEP = np.zeros(256, bool)
 _KEEP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -88,46 +93,29 @@ def _doc_seeds(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nda
     return shingle_hashes(words, first, SEED)
 
 
-def _frequencies(docs: DataFrame, seeds: np.ndarray) -> np.ndarray:
-    """In how many rows of docs each of the sorted distinct seeds occurs."""
-    sent = docs.sparkSession.sparkContext.broadcast(seeds)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds = sent.value
-        total = np.zeros(len(seeds), np.int64)
-        for batch in batches:
-            for part in slices(batch, 2 << 20):
-                grams, at = _doc_seeds(*normal_words(part.column(0)))
-                row = np.repeat(np.arange(len(at) - 1), np.diff(at))
-                place = np.minimum(np.searchsorted(seeds, grams), len(seeds) - 1)
-                hit = seeds[place] == grams
-                pairs = np.unique(row[hit] * len(seeds) + place[hit])
-                total += np.bincount(pairs % len(seeds), minlength=len(seeds))
-        some = np.flatnonzero(total)
-        yield pa.record_batch({"seed": pa.array(some, pa.int64()), "n": pa.array(total[some], pa.int64())})
-
-    counts = np.zeros(len(seeds), np.int64)
-    if len(seeds):
-        for r in docs.mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect():
-            counts[r.seed] = r.n
-    return counts
-
-
-def rare_seeds(docs: DataFrame, bench: Benchmark) -> Benchmark:
-    """The benchmark with the rare seeds only.
-
-    A leaked item raises the counts of all its seeds alike, so a seed is judged
-    by its excess over the rarest one of its item; the rarer half always stays.
-    """
-    distinct, back = np.unique(bench.seeds, return_inverse=True)
-    texts = with_columns(docs, ["text"])
-    count = _frequencies(texts, distinct)[back] if len(distinct) else np.empty(0, np.int64)
-    rows = docs.count()
-    keep = np.zeros(len(count), bool)
-    for i in np.unique(bench.item):
-        own = np.flatnonzero(bench.item == i)
-        keep[own] = (count[own] - count[own].min() <= RARE_SHARE * rows) | (count[own] <= np.median(count[own]))
-    return Benchmark(bench.ids, bench.words, bench.seeds[keep], bench.item[keep], bench.place[keep])
+def _grids(words: np.ndarray, first: np.ndarray, spans: list[tuple[int, int, int]]) -> Iterator[tuple[list[tuple[int, int, int]], np.ndarray]]:
+    """The spans (row, first word, word after the last) by groups, each with its words [span, width], 0 behind the last."""
+    spans = sorted(spans, key=lambda s: s[2] - s[1])
+    a = 0
+    while a < len(spans):
+        to = a + 1
+        while to < len(spans) and (to + 1 - a) * (spans[to][2] - spans[to][1]) <= GRID_WORDS:
+            to += 1
+        some = spans[a:to]
+        grid = np.zeros((len(some), max(1, some[-1][2] - some[-1][1])), np.uint64)
+        for k, (r, low, high) in enumerate(some):
+            grid[k, : high - low] = words[first[r] + low : first[r] + high]
+        yield some, grid
+        a = to
+
+
+def most_points(item: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """What an alignment of the item with each window is worth at most: all words that they share, in any order."""
+    own, times = np.unique(item, return_counts=True)
+    place = np.minimum(np.searchsorted(own, windows), len(own) - 1)
+    at, column = np.nonzero(own[place] == windows)
+    shared = np.bincount(at * len(own) + place[at, column], minlength=len(windows) * len(own)).reshape(len(windows), len(own))
+    return MATCH * np.minimum(shared, times).sum(axis=1)
 
 
 def _matches(bench: Benchmark, column: pa.Array, least: float) -> list[tuple[int, int, float, int, int]]:
@@ -161,15 +149,12 @@ def _matches(bench: Benchmark, column: pa.Array, least: float) -> list[tuple[int
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
     for i, spans in by_item.items():
         own = bench.words[i]
-        spans.sort(key=lambda s: s[2] - s[1])
-        for a in range(0, len(spans), 256):
-            some = spans[a : a + 256]
-            grid = np.zeros((len(some), max(1, max(s[2] - s[1] for s in some))), np.uint64)
-            for k, (r, low_, high_) in enumerate(some):
-                grid[k, : high_ - low_] = words[first[r] + low_ : first[r] + high_]
+        enough = lambda points: (points / (MATCH * len(own)) >= least) & (points >= MATCH * LEAST_WORDS)  # noqa: E731, B023
+        likely = [some[k] for some, grid in _grids(words, first, spans) for k in np.flatnonzero(enough(most_points(own, grid)))]
+        for some, grid in _grids(words, first, likely):
             points, end = align(own, grid)
             score = points / (MATCH * len(own))
-            for k in np.flatnonzero((score >= least) & (points >= MATCH * LEAST_WORDS)):
+            for k in np.flatnonzero(enough(points)):
                 r, low_, _ = some[k]
                 back = int(align(own[::-1], grid[k : k + 1, : end[k]][:, ::-1])[1][0])
                 found = (float(score[k]), low_ + int(end[k]) - back, low_ + int(end[k]))
@@ -178,15 +163,15 @@ def _matches(bench: Benchmark, column: pa.Array, least: float) -> list[tuple[int
     return [(r, i, *v) for (r, i), v in sorted(best.items())]
 
 
-def _parts(docs: DataFrame, benchmark: DataFrame) -> Iterator[Benchmark]:
-    """The benchmark by parts of bounded size, each with its rare seeds."""
+def _parts(benchmark: DataFrame) -> Iterator[Benchmark]:
+    """The benchmark by parts of bounded size."""
     items = stage(with_columns(benchmark, ["item_id", "text"]).where(F.col("text").isNotNull()), "benchmark")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = -(-size // BENCHMARK_BYTES)
     for part in range(parts):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()
         rows.sort(key=lambda r: (r.item_id is None, r.item_id or 0, r.text))
-        yield rare_seeds(docs, _benchmark(rows))
+        yield _benchmark(rows)
 
 
 def contaminated_passages(docs: DataFrame, benchmark: DataFrame, least: float = 0.5) -> DataFrame:
@@ -203,7 +188,7 @@ def contaminated_passages(docs: DataFrame, benchmark: DataFrame, least: float =
     rows = with_columns(docs, ["doc_id", "text"])
     schema = "doc_id long, item_id long, score double, first_word long, end_word long"
     out = docs.sparkSession.createDataFrame([], schema)
-    for bench in _parts(docs, benchmark):
+    for bench in _parts(benchmark):
         sent = docs.sparkSession.sparkContext.broadcast(bench)
 
         def one(batch: pa.RecordBatch, sent=sent) -> pa.RecordBatch:
@@ -226,7 +211,7 @@ def contaminated_passages(docs: DataFrame, benchmark: DataFrame, least: float =
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of docs, with all their columns, that hold a copy of no benchmark item (as contaminated_passages finds them)."""
-    for bench in _parts(docs, benchmark):
+    for bench in _parts(benchmark):
         sent = docs.sparkSession.sparkContext.broadcast(bench)
 
         def clean(batch: pa.RecordBatch, sent=sent) -> np.ndarray:
