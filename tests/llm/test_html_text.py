@@ -82,3 +82,23 @@ def test_given_pages_by_their_template(spark):
         inner = inner.split("</article>")[0] if "</article>" in inner else re.sub(r"<[^>]*\Z", "", inner)
         parts = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", p.replace("<br>", " "))).split()) for p in re.split(r"</?(?:p|h1)>", inner)]
         assert got[r.page_id] == "\n\n".join(p for p in parts if p)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"{CHROME}<div class='sidebar-right'><article>{BODY}</article></div>{TAIL}",
+        f"{CHROME}<div class='sidebar-right'><div class='post'>{BODY}</div></div>{TAIL}",
+        f"{CHROME}<div class='content-with-sidebar'><div>{BODY}</div></div>{TAIL}",
+        f"<form id='aspnet'>{CHROME}<div class='main'><article>{BODY}</article></div>{TAIL}</form>",
+        f"<form>{CHROME}<section id='sidebar-left'><main>{BODY}</main></section></form>{TAIL}",
+        f"{CHROME}<div class='header-page'><div class='paywall'>{BODY}</div></div>{TAIL}",
+        # what must still go
+        f"{CHROME}<article>{BODY}</article><div class='sidebar'>{f'<p>{A}</p>' * 9}</div>{TAIL}",
+        f"{CHROME}<div>{BODY}</div><div id='comments'>{f'<p>{A}</p>' * 9}</div>{TAIL}",
+        f"{CHROME}<div>{BODY}</div><div class='cookie-consent'>{f'<p>{A}</p>' * 9}</div>{TAIL}",
+        f"{CHROME}<div>{BODY}</div><div class='sidebar'><p>{A}</p></div><form><p>{A}</p></form>{TAIL}",
+    ],
+)
+def test_wrappers_named_as_furniture(page):
+    assert main_text(f"<html><body>{page}</body></html>") == WANT

@@ -3,7 +3,9 @@
 A page becomes a tree of blocks.  Each block of text passes points for its
 length and commas to its ancestors; a container's points are discounted by its
 share of link text; the best container and those of its siblings that look like
-it are kept, without the parts that tag, role or class name as furniture.
+it are kept, without the parts that tag, role or class name as furniture.  A
+form, or a block that only its class or id names so, is kept after all if it
+holds the main element or most of the points of the page.
 """
 
 from __future__ import annotations
@@ -45,6 +47,14 @@ _FURNITURE = set(
     " replies reply respond rss search share sharing shares sidebar sidebars signin signup skip skyscraper social sponsor sponsored sponsors subscribe subscription"
     " subscriptions tagcloud taboola teaser toolbar topbar trackback widget widgets alert alerts outbrain".split()
 )
+# Furniture whose text may well be longer than the article; and words after which the last one names what lies beside.
+_OWN_TEXT = set(
+    "alert alerts comment comments commentlist consent cookie cookies disqus gdpr modal newsletter notification notifications outbrain popup"
+    " recommend recommended recommendations related replies reply respond taboola trackback".split()
+)
+_BESIDE = {"has", "with", "no", "without"}
+#: What Node.gone says: kept, gone, gone by its name only, and gone by the name of a part with much text.
+_KEPT, _CUT, _NAMED, _NAMED_TEXT = range(4)
 _CONTENT = set("article content main post entry story text body page wrapper container".split())
 
 _TOKEN = re.compile(
@@ -60,7 +70,7 @@ _PIECE = re.compile(r"[a-z0-9]+")
 class Node:
     __slots__ = ("children", "gone", "links", "name", "parent", "points", "size")
 
-    def __init__(self, name: str, parent: Node | None, gone: bool = False):
+    def __init__(self, name: str, parent: Node | None, gone: int = _KEPT):
         self.name, self.parent, self.gone = name, parent, gone
         self.children: list = []
         self.points, self.size, self.links = 0.0, 0, 0
@@ -73,25 +83,30 @@ def _attributes(rest: str) -> dict[str, str]:
     return out
 
 
-def _is_furniture(name: str, rest: str) -> bool:
-    if name in _GONE:
-        return True
+def _furniture(name: str, rest: str) -> int:
+    """Whether an element is kept, gone or only named as furniture."""
+    if name in _GONE and name != "form":
+        return _CUT
+    here = _NAMED if name == "form" else _KEPT
     if name in ("html", "body") or not rest or rest.isspace():
-        return False
+        return here
     given = _attributes(rest)
     if "hidden" in given or given.get("aria-hidden", "").lower() == "true" or given.get("role", "").lower() in _ROLES:
-        return True
+        return _CUT
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", given.get("style", ""), re.I):
-        return True
+        return _CUT
     for word in f"{given.get('class', '')} {given.get('id', '')}".split():
         pieces = _PIECE.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", word).lower())
         if not pieces or pieces[0] in ("has", "with", "no", "without", "is"):
             continue
-        if pieces[0] in _FURNITURE or (pieces[-1] in _FURNITURE and name not in ("main",)):
+        last = pieces[-1] in _FURNITURE and name not in ("main",) and _BESIDE.isdisjoint(pieces[:-1])
+        if pieces[0] in _FURNITURE or last:
             if name in _HEADINGS or name == "article" and pieces[0] in _CONTENT:
                 continue
-            return True
-    return False
+            if name not in _BLOCKS:
+                return _CUT
+            here = max(here, _NAMED_TEXT if (pieces[0] if pieces[0] in _FURNITURE else pieces[-1]) in _OWN_TEXT else _NAMED)
+    return here
 
 
 def parse(page: str) -> Node:
@@ -143,7 +158,7 @@ def parse(page: str) -> Node:
         if name == "a":
             link = 1
             continue
-        gone = _is_furniture(name, found["rest"])
+        gone = _furniture(name, found["rest"])
         if name not in _BLOCKS and not gone:
             continue
         if name in _CLOSES_P:
@@ -186,6 +201,57 @@ def _up(node: Node | None):
         node = node.parent
 
 
+def _own(node: Node) -> tuple[str, int, float]:
+    """The text of a node itself, how much of it is in links, and its points."""
+    own = [c for c in node.children if not isinstance(c, Node)]
+    whole = " ".join("".join(t for t, _ in own).split())
+    linked = sum(len(t.strip()) for t, linked in own if linked)
+    if not whole or node.name in _HEADINGS:
+        return whole, linked, 0.0
+    commas = whole.count(",") + whole.count("،") + whole.count("、") + whole.count("，")
+    return whole, linked, (1 + commas + min(len(whole) / 100, 10)) * (1 - min(1.0, linked / len(whole)))
+
+
+def _reconsider(root: Node) -> None:
+    """Keeps what is furniture by its name only, but holds the main element, or most of the points of a page without an article elsewhere."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack += [c for c in node.children if isinstance(c, Node) and c.gone != _CUT]
+    if not any(n.gone for n in order):
+        return
+    worth: dict[Node, float] = {}
+    holds: dict[Node, set[str]] = {}
+    for node in reversed(order):
+        mine = worth[node] = worth.get(node, 0.0) + _own(node)[2]
+        inside = holds.setdefault(node, set())
+        if node.gone == _NAMED_TEXT and not inside:
+            node.gone = _CUT
+        elif node.parent is not None:
+            worth[node.parent] = worth.get(node.parent, 0.0) + mine
+            above = holds.setdefault(node.parent, set())
+            above |= inside
+            if node.name in ("article", "main") and not node.gone and mine:
+                above.add(node.name)
+    shut: set[Node] = set()
+    for node in order:
+        if node.gone or node.parent in shut:
+            shut.add(node)
+    articles = [n for n in order if n.name in ("article", "main") and n not in shut]
+    shut.clear()
+    for node in order:
+        if node.parent not in shut and node.gone in (_NAMED, _NAMED_TEXT):
+            if "main" in holds[node]:
+                node.gone = _KEPT
+            elif worth[node] > 0.5 * worth[root]:
+                above = set(_up(node))
+                if not any(worth[a] - (worth[node] if a in above else 0.0) > 0 for a in articles):
+                    node.gone = _KEPT
+        if node.gone or node.parent in shut:
+            shut.add(node)
+
+
 def _score(root: Node) -> list[Node]:
     """Sizes, links and points of every kept node; the containers."""
     order, stack = [], [root]
@@ -194,16 +260,13 @@ def _score(root: Node) -> list[Node]:
         order.append(node)
         stack += [c for c in node.children if isinstance(c, Node) and not c.gone]
     for node in reversed(order):
-        own = [c for c in node.children if not isinstance(c, Node)]
-        whole = " ".join("".join(t for t, _ in own).split())
+        whole, linked, points = _own(node)
         node.size += len(whole)
-        node.links += min(len(whole), sum(len(t.strip()) for t, linked in own if linked))
+        node.links += min(len(whole), linked)
         if node.parent is not None:
             node.parent.size += node.size
             node.parent.links += node.links
         if whole and node.name not in _HEADINGS:
-            share = 1 - min(1.0, sum(len(t.strip()) for t, linked in own if linked) / len(whole))
-            points = (1 + whole.count(",") + whole.count("،") + whole.count("、") + whole.count("，") + min(len(whole) / 100, 10)) * share
             holder = node.parent if node.name in ("p", "pre", "li", "td", "th", "dd", "dt", "blockquote", "tr", "figcaption") else node
             weight = 1.0
             for level, above in enumerate(_up(holder)):
@@ -286,7 +349,9 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     out: list[str] = []
-    for node in _chosen(parse(page)):
+    root = parse(page)
+    _reconsider(root)
+    for node in _chosen(root):
         _blocks(node, out)
     return "\n\n".join(out)
 
