@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from weftline.llm.common import held_out
 from weftline.llm.quality import FEATURES, document_statistics, fit_quality, fit_trees, score_quality
@@ -125,3 +126,12 @@ def test_quality(spark):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
     assert len(score_quality(docs, fit_quality(docs, labels.limit(0))).collect()) == len(got)
     assert docs.where(held_out(docs.doc_id)).count() == sum(r.held_out for r in got)
+
+
+def test_quality_scores_have_the_share_of_all_labelled_rows(spark):
+    # texts that tell nothing, 20 good ones to a bad one, far more good ones than the sample takes
+    words = F.concat_ws(" ", *[F.substring(F.md5(F.concat(F.col("id").cast("string"), F.lit(f"-{k}"))), 1, 5) for k in range(8)])
+    docs = spark.range(21_000).select(F.col("id").alias("doc_id"), words.alias("text"))
+    labels = docs.select("doc_id", F.when(F.col("doc_id") % 21 == 0, 0).otherwise(1).alias("quality"))
+    scores = [r.score for r in score_quality(docs, fit_quality(docs, labels)).where("held_out").collect()]
+    assert np.mean(scores) == pytest.approx(20 / 21, abs=0.03)

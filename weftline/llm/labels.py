@@ -11,6 +11,17 @@ from .common import held_out, label_sample, with_columns
 SAMPLE_ROWS, SAMPLE_BYTES = 2500, 1 << 15
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: int = SAMPLE_ROWS) -> tuple[list[tuple[str, int]], dict[int, int]]:
+    """The rows of labelled_texts, and how many rows of each label they were taken from."""
+    marks = with_columns(labels, ["doc_id", label]).withColumnRenamed(label, "label")
+    marks = marks.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & ~held_out(F.col("doc_id")))
+    marks = marks.groupBy("doc_id").agg(F.max(F.col("label").cast("int")).alias("label"))
+    counts = {r.label: r["count"] for r in marks.groupBy("label").count().collect()}
+    chosen = label_sample(marks, "label", per_label)
+    rows = with_columns(docs, ["doc_id", "text"]).where(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(chosen), "doc_id")
+    return [(r.text, r.label) for r in sorted(rows.collect(), key=lambda r: (r.doc_id, r.text))], counts
+
+
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, per_label: int = SAMPLE_ROWS) -> list[tuple[str, int]]:
     """(text, label) of about per_label rows of each label, held-out rows apart, in the order of doc_id.
 
@@ -18,9 +29,4 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, per_label: in
     SAMPLE_BYTES; several labels of one id count as the greatest.  The sample is
     by hash of doc_id over the labels, so it is bounded before a text is read.
     """
-    marks = with_columns(labels, ["doc_id", label]).withColumnRenamed(label, "label")
-    marks = marks.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & ~held_out(F.col("doc_id")))
-    marks = marks.groupBy("doc_id").agg(F.max(F.col("label").cast("int")).alias("label"))
-    chosen = label_sample(marks, "label", per_label)
-    rows = with_columns(docs, ["doc_id", "text"]).where(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(chosen), "doc_id")
-    return [(r.text, r.label) for r in sorted(rows.collect(), key=lambda r: (r.doc_id, r.text))]
+    return labelled_sample(docs, labels, label, per_label)[0]

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, map_batches, with_columns
-from .labels import labelled_texts
+from .labels import labelled_sample
 from .shingles import shingle_hashes, span_hashes, text_bytes, word_spans
 
 _CLASSES = {
@@ -177,12 +177,19 @@ def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = 120, depth: int = 4, bi
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame) -> BoostedTrees:
-    """Trees that tell quality 1 from 0, from the bounded sample that labelled_texts gives."""
-    rows = labelled_texts(docs, labels, "quality")
+    """Trees that tell quality 1 from 0, from the bounded sample that labelled_texts gives.
+
+    The sample may hold the labels in other shares than the data, so the base is
+    shifted to the odds of all labelled rows, smoothed by one row of each label.
+    """
+    rows, counts = labelled_sample(docs, labels, "quality")
     y = np.array([r[1] > 0 for r in rows], float)
-    # Weights are not needed: the sample has labels in equal parts, and the share in the data shifts the base.
     x = document_statistics(pa.array([r[0] for r in rows], pa.large_string())) if rows else np.zeros((0, len(FEATURES)))
-    return fit_trees(x, y)
+    model = fit_trees(x, y)
+    good = sum(n for label, n in counts.items() if label > 0)
+    bad = sum(counts.values()) - good
+    model.base += float(np.log((good + 1.0) / (bad + 1.0)) - np.log((y.sum() + 1.0) / (len(y) - y.sum() + 1.0)))
+    return model
 
 
 def score_quality(docs: DataFrame, model: BoostedTrees, threshold: float = 0.3) -> DataFrame:
