@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.llm.common import held_out
+from weftline.llm.labels import labelled_sample
 from weftline.llm.quality import FEATURES, document_statistics, fit_quality, fit_trees, score_quality
 from weftline.llm.shingles import text_bytes
 from weftline.llm.toxicity import _EDGE, _NORM, _STEPS, _WEIGHT, WINDOW, _grid, features, fit_toxicity, letter_words, score_toxicity, train_toxicity
@@ -135,3 +136,14 @@ def test_quality_scores_have_the_share_of_all_labelled_rows(spark):
     labels = docs.select("doc_id", F.when(F.col("doc_id") % 21 == 0, 0).otherwise(1).alias("quality"))
     scores = [r.score for r in score_quality(docs, fit_quality(docs, labels)).where("held_out").collect()]
     assert np.mean(scores) == pytest.approx(20 / 21, abs=0.03)
+
+
+def test_labels_that_teach_nothing_do_not_crowd_out_texts(spark):
+    # label 1 on 200 texts, 8,000 null ones, 30 too long ones and 8,000 absent ones; label 0 on 200 texts, one of them twice
+    text = F.when(F.col("id") < 400, F.concat(F.lit("text "), F.col("id"))).when(F.col("id") >= 8400, F.repeat(F.lit("word "), 20_000))
+    docs = spark.range(8430).unionAll(spark.range(201, 202)).select(F.col("id").alias("doc_id"), text.alias("text"))
+    labels = spark.range(16_430).select(F.col("id").alias("doc_id"), F.when(F.col("id").between(200, 399), 0).otherwise(1).alias("toxic"))
+    rows = docs.where((F.col("doc_id") < 400) & ~held_out(F.col("doc_id"))).collect()
+    want = sorted((r.text, int(r.doc_id < 200)) for r in rows)
+    got, counts = labelled_sample(docs, labels, "toxic", 300)
+    assert sorted(got) == want and counts == Counter(label for _, label in want)

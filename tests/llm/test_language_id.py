@@ -2,7 +2,9 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
+from weftline.llm import language_id
 from weftline.llm.language_id import ORDER, build_model, fit_language_id, identify_language
 from weftline.llm.shingles import _LOWER, text_bytes
 
@@ -59,3 +61,10 @@ def test_contract_and_edges(spark):
     empty = docs.limit(0)
     assert identify_language(empty, fit_language_id(empty)).collect() == []
     assert identify_language(docs, fit_language_id(empty)).first().lang_pred == "und"
+
+
+def test_rows_that_teach_nothing_do_not_crowd_out_texts(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "build_model", lambda texts: {k: sorted(v) for k, v in texts.items()})
+    text = F.when(F.col("id") < 200, F.concat(F.lit("Wort "), F.col("id"))).when(F.col("id") % 2 == 0, "").when(F.col("id") % 1000 == 1, F.repeat(F.lit("Wort "), 20_000))
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("de").alias("lang"))
+    assert fit_language_id(docs) == {"de": sorted(f"Wort {i}" for i in range(200))}

@@ -165,10 +165,10 @@ def fit_language_id(docs: DataFrame, per_language: int = SAMPLE_ROWS) -> Languag
     """The model of docs (doc_id, text, lang, ...), from about per_language rows of each language.
 
     Rows with a null lang or text, or a text above SAMPLE_BYTES, teach nothing;
-    the sample is by hash of doc_id, so bounded and alike on each run.
+    and don't count; the sample is by hash of doc_id, so bounded and alike on each run.
     """
-    rows = with_columns(docs, ["doc_id", "text", "lang"]).where(F.col("lang").isNotNull())
-    rows = label_sample(rows, "lang", per_language).where(F.octet_length("text").between(1, SAMPLE_BYTES))
+    rows = with_columns(docs, ["doc_id", "text", "lang"]).where(F.col("lang").isNotNull() & F.octet_length("text").between(1, SAMPLE_BYTES))
+    rows = label_sample(rows, "lang", per_language)
     texts: dict[str, list[str]] = {}
     for row in rows.select("lang", "text").collect():
         texts.setdefault(row.lang, []).append(row.text)
