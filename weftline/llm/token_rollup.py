@@ -64,22 +64,40 @@ class TokenRollup:
     def _names(self, part: str) -> list[str]:
         return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.folder}/{part}")))
 
-    def _base(self) -> tuple[str | None, set[str]]:
-        """The newest base and the ids that it sums up."""
+    def _base(self) -> str | None:
+        """The folder of the newest base: its totals, and the ids that it sums up."""
         names = self._names("bases")
-        if not names:
-            return None, set()
-        path = f"{self.folder}/bases/{names[-1]}"
-        return f"{path}/totals", {r.batch_id for r in self.spark.read.schema("batch_id string").parquet(f"{path}/ids").collect()}
-
-    def committed(self) -> set[str]:
-        return self._base()[1] | set(self._names("batches"))
+        return f"{self.folder}/bases/{names[-1]}" if names else None
+
+    def _ids(self, base: str) -> DataFrame:
+        return self.spark.read.schema("batch_id string").parquet(f"{base}/ids")
+
+    def _loose(self, base: str | None) -> list[str]:
+        """The batches that the base doesn't sum up; asked for those that have a folder only, however many there ever were."""
+        names = self._names("batches")
+        if base is None or not names:
+            return names
+        listed = self.spark.createDataFrame([(n,) for n in names], "batch_id string")
+        return sorted(r.batch_id for r in listed.join(self._ids(base), "batch_id", "left_anti").collect())
+
+    def has(self, batch_id: str) -> bool:
+        """Whether the batch is in, as a folder of its own or in the newest base."""
+        if self._fs.exists(self._path(f"{self.folder}/batches/{batch_id}")):
+            return True
+        base = self._base()
+        return base is not None and bool(self._ids(base).where(F.col("batch_id") == batch_id).limit(1).count())
+
+    def committed(self) -> DataFrame:
+        """(batch_id) of every batch that is in."""
+        base = self._base()
+        rows = self.spark.createDataFrame([(n,) for n in self._loose(base)], "batch_id string")
+        return rows.unionByName(self._ids(base)) if base else rows
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Adds the changes (source, lang, tokenizer, d_docs, d_tokens); False if the batch is in already."""
         if not batch_id or "/" in batch_id or batch_id[0] in "._":
             raise ValueError(f"not a batch id: {batch_id!r}")
-        if batch_id in self.committed():
+        if self.has(batch_id):
             return False
         aside = f"{self.folder}/aside-{uuid.uuid4().hex}"
         sums = changes.groupBy(*KEYS).agg(F.coalesce(F.sum("d_docs"), F.lit(0)).alias("n_docs"), F.coalesce(F.sum("d_tokens"), F.lit(0)).alias("n_tokens"))
@@ -97,23 +115,34 @@ class TokenRollup:
             self._fs.delete(self._path(aside), True)
         return bool(done)
 
-    def totals(self) -> DataFrame:
-        """(source, lang, tokenizer, n_docs, n_tokens), keys whose totals are both 0 left out."""
-        base, inside = self._base()
-        paths = [p for p in [base] if p] + [f"{self.folder}/batches/{n}" for n in self._names("batches") if n not in inside]
+    def _sums(self, base: str | None, batches: list[str]) -> DataFrame:
+        paths = [f"{base}/totals"] * bool(base) + [f"{self.folder}/batches/{n}" for n in batches]
         rows = self.spark.read.schema(_TOTALS).parquet(*paths) if paths else self.spark.createDataFrame([], _TOTALS)
         sums = rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return sums.where((F.col("n_docs") != 0) | (F.col("n_tokens") != 0))
 
+    def totals(self) -> DataFrame:
+        """(source, lang, tokenizer, n_docs, n_tokens), keys whose totals are both 0 left out."""
+        base = self._base()
+        return self._sums(base, self._loose(base))
+
     def compact(self) -> None:
-        """Sums up all batches into a new base; then drops what it sums up."""
-        ids, old = sorted(self.committed()), self._names("bases")
+        """Sums up the batches that are in now into a new base.
+
+        They are listed once, and the base names exactly what it sums up, so a
+        batch committed meanwhile stays one of its own.  What the new base
+        replaces stays until the next call, for readers that have begun; what
+        the base before it replaced goes.
+        """
+        base = self._base()
+        listed, loose = self._names("batches"), self._loose(base)
+        old = self._names("bases")
         aside = f"{self.folder}/aside-{uuid.uuid4().hex}"
-        self.totals().coalesce(1).write.parquet(f"{aside}/totals")
-        self.spark.createDataFrame([(i,) for i in ids], "batch_id string").coalesce(1).write.parquet(f"{aside}/ids")
+        self._sums(base, loose).coalesce(1).write.parquet(f"{aside}/totals")
+        ids = self.spark.createDataFrame([(i,) for i in loose], "batch_id string")
+        (ids.unionByName(self._ids(base)) if base else ids.coalesce(1)).write.parquet(f"{aside}/ids")
         if self._publish(aside, f"{self.folder}/bases/{(int(old[-1]) if old else 0) + 1:012d}"):
-            for n in old:
+            for n in old[:-1]:
                 self._fs.delete(self._path(f"{self.folder}/bases/{n}"), True)
-            for n in self._names("batches"):
-                if n in ids:
-                    self._fs.delete(self._path(f"{self.folder}/batches/{n}"), True)
+            for n in sorted(set(listed) - set(loose)):
+                self._fs.delete(self._path(f"{self.folder}/batches/{n}"), True)
