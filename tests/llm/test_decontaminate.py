@@ -117,3 +117,52 @@ def test_edited_copies_in_many_rows_against_brute_force(spark):
     assert {i: sum(k[1] == i for k in want) for i in range(5)} == {0: 3, 1: 10, 2: 10, 3: 334, 4: 10}
     assert {(r.doc_id, r.item_id): r.score for r in D.contaminated_passages(docs, bench).collect()} == want
     assert {r.doc_id for r in D.without_contaminated(docs, bench).collect()} == set(range(1000)) - {d for d, _ in want}
+
+
+def test_edits_that_leave_no_three_words_together(spark):
+    rng = random.Random(12)
+    items = [(i, text(rng, n)) for i, n in enumerate((8, 16, 30, 60, 60))]
+    words = lambda t: D.normal_words(pa.array([t]))[0].tolist()
+    grams = lambda w: {tuple(w[k : k + 3]) for k in range(len(w) - 2)}
+    few = []
+    for d in range(60):
+        i, t = items[d % 5]
+        t = t.split()
+        if d % 4 == 0:
+            t = [w if k % 3 else f"Ö{k}" for k, w in enumerate(t)]
+        elif d % 4 == 1:
+            t = [x for w in t for x in (w, "und")][: -1 - rng.randrange(4)]
+        elif d % 4 == 2:
+            t = [x for k, w in enumerate(t) for x in ((w, "und") if k % 2 else (w,))]
+        else:
+            t = [w for w in t if rng.random() > 0.25]
+        around = text(rng, 20).split()
+        around[7:7] = t
+        few.append((d, " ".join(around), "s", 1))
+    few.append((999, " ".join(w if k % 3 else "x" for k, w in enumerate(items[3][1].split() * 40)), "s", 1))
+    want, unseeded = {}, 0
+    for r in few:
+        for i, t in items:
+            if (p := plain(words(t), words(r[1]))) >= max(16, len(words(t))):
+                want[r[0], i] = p / 2 / len(words(t))
+                unseeded += not grams(words(t)) & grams(words(r[1]))
+    assert len(want) > 30 and unseeded > 10
+    many = few + [(10_000 + k, f"{t} {k}", "s", 1) for k, (_, t, _, _) in enumerate(rng.choices(few[:5], k=200))] + [(20_000 + k, text(rng, 3), "s", 1) for k in range(9000)]
+    for rows in (few, many):
+        docs, bench = frames(spark, rows, items)
+        got = {(r.doc_id, r.item_id): r.score for r in D.contaminated_passages(docs, bench).collect() if r.doc_id < 1000}
+        assert got == want
+
+
+def test_long_texts_in_pieces_and_wide_windows(monkeypatch):
+    rng = random.Random(13)
+    rows = [text(rng, 25).split() for _ in range(3)]
+    monkeypatch.setattr(D, "PIECE_WORDS", 400)
+    bench = D.Benchmark([type("Row", (), {"item_id": i, "text": " ".join(t)}) for i, t in enumerate(rows)], 0.5)
+    long = [rng.choice(WORDS) for _ in range(5000)]
+    for at in (0, 380, 395, 2000, 4990):
+        long[at:at] = rows[0]
+    texts = [" ".join(long), "", " ".join(rows[1] * 60), " ".join(rows[2][:12])]
+    got = D._matches(bench, pa.array(texts))
+    assert [(r, i, s) for r, i, s, _, _ in got] == [(0, 0, 1.0), (2, 1, 1.0)]
+    assert [(a, b) for *_, a, b in got] == [(0, 25), (0, 25)]
