@@ -75,8 +75,7 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = _read(spark, sf_dir, "embeddings")
-    return nearest_neighbours(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+    return nearest_neighbours(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
