@@ -11,7 +11,21 @@ from weftline.llm.common import held_out
 from weftline.llm.labels import labelled_sample
 from weftline.llm.quality import FEATURES, document_statistics, fit_quality, fit_trees, score_quality
 from weftline.llm.shingles import text_bytes
-from weftline.llm.toxicity import _EDGE, _NORM, _STEPS, _WEIGHT, WINDOW, _grid, features, fit_toxicity, letter_words, score_toxicity, train_toxicity
+from weftline.llm.toxicity import (
+    _EDGE,
+    _STEPS,
+    _WEIGHT,
+    WINDOW,
+    _machine,
+    features,
+    fit_toxicity,
+    kernel_values,
+    letter_words,
+    score_toxicity,
+    train_toxicity,
+    triple_place,
+    without_toxic,
+)
 
 SYLLABLES = ["the", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or"]
 INSULTS = ["grobnik", "slurfen", "wazzock"]
@@ -66,23 +80,115 @@ def test_toxicity_without_labels(spark):
     assert score_toxicity(docs.limit(0), fit_toxicity(docs, labels)).collect() == []
 
 
+def lines(*words):
+    out = np.zeros((len(words), WINDOW), np.uint16)
+    for line, word in zip(out, words, strict=True):
+        line[: len(word)] = [ord(c) for c in word]
+    return out
+
+
+def plain_triples(word):
+    """The weight of each triple of a word, by the letters themselves."""
+    marked, out = [_EDGE, *map(ord, word), _EDGE], Counter()
+    scale = sum((len(marked) - j) * w * w for (_, j), w in zip(_STEPS, _WEIGHT, strict=True) if len(marked) > j) ** 0.5
+    for (i, j), w in zip(_STEPS, _WEIGHT, strict=True):
+        for at in range(len(marked) - j):
+            out[marked[at], marked[at + i], marked[at + j]] += w / (scale or 1)
+    return out
+
+
+def plain_kernel(a, b):
+    x, y = plain_triples(a), plain_triples(b)
+    return sum(v * y[t] for t, v in x.items())
+
+
 def test_kernel_against_plain_sums():
-    words = [b"\x01\x02\x03\x01", b"\x05", bytes(range(1, WINDOW + 1))]
-    got = features(*_grid(np.array(words)))
+    words = ["abca", "e", "abcdefghijklmnop", "слово", "語文語", "ab"]
+    used, got = features(lines(*words))
+    place = {t: int(triple_place(*[np.array([c], np.uint32) for c in t])[0]) for w in words for t in plain_triples(w)}
     for line, word in zip(got, words, strict=True):
-        marked = [_EDGE, *word, _EDGE]
         want = Counter()
-        for (i, j), w in zip(_STEPS, _WEIGHT, strict=True):
-            for at in range(len(marked) - j):
-                want[marked[at] << 10 | marked[at + i] << 5 | marked[at + j]] += w / _NORM[len(marked)]
-        assert {int(k) for k in np.flatnonzero(line)} == set(want)
-        assert all(line[k] == pytest.approx(v, rel=1e-5) for k, v in want.items())
+        for t, v in plain_triples(word).items():
+            want[place[t]] += v
+        assert {int(used[k]) for k in np.flatnonzero(line)} == set(want)
+        assert all(line[np.searchsorted(used, k)] == pytest.approx(v, rel=1e-5) for k, v in want.items())
+    some = ["abxca", "слоово", "nothing", "語文"]
+    values = kernel_values(lines(*some), used, got)
+    assert np.allclose(values, [[plain_kernel(a, b) for b in words] for a in some], atol=1e-5)
+
+
+def test_folded_weights_are_the_machine_on_its_landmarks():
+    model = train_toxicity([(r[1], r[3]) for r in corpus(random.Random(7), 120)], landmarks=64)
+    own = ["".join(map(chr, line[line > 0])) for line in model.landmarks]
+    assert len(own) > 40 and set(INSULTS) & set(own)
+    words = [*own[:10], "grobnik", "grorbnik", "slrfen", "the", "zyxw"]
+    want = [sum(c * plain_kernel(w, mark) for c, mark in zip(model.coefficients, own, strict=True)) + model.bias for w in words]
+    assert np.allclose(model.word_margins(lines(*words)), want, atol=1e-3)
+    # a text's margin, word by word
+    margin = dict(zip(words, model.word_margins(lines(*words)), strict=True))
+    got = model.margins(pa.array(["the grobnik the zyxw", "the zyxw", "", None, "slrfen, Grobnik!"]))
+    assert got[0] == pytest.approx(max(margin["grobnik"], 0) + max(margin["the"], 0) + max(margin["zyxw"], 0)) and margin["grobnik"] > 0
+    assert got[1] == pytest.approx(max(margin["the"], margin["zyxw"])) and got[2] == got[3] == -np.inf
+    assert got[4] == pytest.approx(margin["grobnik"] + max(margin["slrfen"], 0))
+
+
+def test_the_machine_has_the_least_loss_nearby():
+    rng = np.random.default_rng(5)
+    bags, of = np.c_[rng.normal(size=(40, 3)), np.ones(40)].astype(np.float32), np.repeat(np.arange(10), 4)
+    clean, weight = np.c_[rng.normal(size=(60, 3)) - 1, np.ones(60)].astype(np.float32), rng.uniform(0.5, 2, 60)
+
+    def loss(w):
+        margin = bags @ w
+        total = np.array([max(margin[of == t].max(), np.maximum(margin[of == t], 0).sum()) if margin[of == t].max() > 0 else margin[of == t].max() for t in range(10)])
+        return w[:-1] @ w[:-1] + (np.maximum(0, 1 - total) ** 2).sum() + (weight * np.maximum(0, 1 + clean @ w) ** 2).sum()
+
+    w = _machine(bags, of, clean, weight, 1.0)
+    assert all(loss(w) <= loss(w + d) + 1e-4 for d in rng.normal(size=(200, 4)) * 0.05)
 
 
 def test_letters():
-    letters, s, e, row = letter_words(*text_bytes(pa.array(["Ab, C-d", None, "i d i o t! xx", "abcdeé" * 4 + "zzzzz"])))
-    text = ["".join(chr(96 + c) for c in letters[a:b]) for a, b in zip(s, e, strict=True)]
-    assert sorted(zip(row.tolist(), text, strict=True)) == sorted([(0, "ab"), (0, "cd"), *((2, c) for c in "idiot"), (2, "idiot"), (2, "xx"), (3, ("abcde|" * 4)[:16]), (3, ("abcde|" * 4)[8:24]), (3, ("abcde|" * 4)[16:] + "zz")])
+    letters, s, e, row = letter_words(*text_bytes(pa.array(["Ab, C-d", None, "i d i o t! xx", "abcdeÉ" * 4 + "zzzzz", "Ёлка ΣΑΣ", "天地玄黃宇宙洪荒", "x\U0001f600y\U00020000z e\u0301"])))
+    text = ["".join(map(chr, letters[a:b])) for a, b in zip(s, e, strict=True)]
+    far = chr(0x8000)
+    assert sorted(zip(row.tolist(), text, strict=True)) == sorted(
+        [(0, "ab"), (0, "cd"), *((2, c) for c in "idiot"), (2, "idiot"), (2, "xx"), (3, ("abcdeé" * 4)[:16]), (3, ("abcdeé" * 4)[8:24]), (3, ("abcdeé" * 4)[16:] + "zz")]
+        + [(4, "ёлка"), (4, "σασ"), (5, "天地玄黃宇宙"), (5, "黃宇宙洪荒"), (6, f"xy{far}z"), (6, "e")]
+    )
+
+
+SCRIPTS = {
+    "cyrillic": ("он она мы при под над кра тле сон вет рук дом луч", ["гробник", "слюрфен"], "грообник"),
+    "greek": ("και του στο προ μετ αλλ φως νερ δεν πως γρα λεξ", ["γρομπνικ", "σλυρφεν"], "γρομπτνικ"),
+    "han": ("天 地 玄 黃 宇 宙 洪 荒 日 月 盈 昃 辰 宿", ["笨豬傻瓜", "醜陋混蛋"], "笨豬大傻瓜"),
+}
+
+
+@pytest.mark.parametrize("script", SCRIPTS)
+def test_insults_in_other_scripts(script):
+    syllables, insults, edited = SCRIPTS[script]
+    rng, rows = random.Random(6), []
+    syllables = syllables.split()
+    for i in range(240):
+        words = ["".join(rng.choice(syllables) for _ in range(rng.randrange(1, 4))) for _ in range(25)]
+        if i % 3 == 0:
+            words[rng.randrange(25)] = rng.choice(insults)
+        rows.append((("" if script == "han" else " ").join(words), int(i % 3 == 0)))
+    model = train_toxicity(rows[60:])
+    score = model.score(pa.array([r[0] for r in rows[:60]]))
+    assert sum((s >= 0.5) != y for s, (_, y) in zip(score, rows, strict=False)) <= 1
+    clean = rows[1][0]
+    assert (model.score(pa.array([f"{clean} {edited}", clean])) >= 0.5).tolist() == [True, False]
+
+
+def test_without_toxic_keeps_other_columns_nulls_and_repeats(spark):
+    rows = corpus(random.Random(9), 150)
+    model = train_toxicity([(r[1], r[3]) for r in rows])
+    docs, _ = frames(spark, rows)
+    got = without_toxic(docs, model)
+    assert got.columns == docs.columns
+    want = [i for i, _, _, toxic in rows if not toxic] + [9000, 9001, 9002, 9003, 9005, 9005]
+    assert sorted(r.doc_id for r in got.collect()) == want
+    assert without_toxic(docs.limit(0), model).collect() == []
 
 
 def test_statistics_against_plain_counts():

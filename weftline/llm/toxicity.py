@@ -2,16 +2,20 @@
 
 The kernel of two words sums, over the letter triples that both hold in order,
 the products of decay ** span of their occurrences, so a word with letters put
-in or left out keeps most of its likeness.  The machine is linear in the
+in or left out keeps most of its likeness.  The machine is learned from
+labelled texts, as bags of words: a clean text says that none of its words is
+an insult, a toxic one that some are, not which.  It is linear in the
 landmarks' kernel values; as those are inner products of explicit triple
-weights, the trained machine folds into one weight per triple, and scoring a
-word adds up the weights of its triples.  A text's margin is that of its worst
-word.
+weights, it folds into one weight a triple, and scoring a word adds up the
+weights of its triples.  A text's margin is the sum of its words' margins above
+0, or its worst word's if there is none.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,29 +27,56 @@ from .labels import labelled_texts
 from .shingles import span_hashes, text_bytes, word_spans
 
 DECAY, SPAN = 0.7, 6
-#: Letters that one window of a word has at most; longer words are read in windows that overlap by half.
-WINDOW = 16
+#: Letters that one window of a word has at most, and one in a script without spaces; longer words are read in windows that overlap by half.
+WINDOW, DENSE_WINDOW = 16, 6
 #: Rows of each label that the machine learns from, about.
 SAMPLE_ROWS = 2000
-_EDGE = 31
+#: Words that stand for a text in training, those of highest margin; clean words beside them: the commonest, some at random, and those that were ever among the highest of a clean text.
+WORDS_PER_TEXT, COMMON_WORDS, RANDOM_WORDS, HARD_WORDS = 4, 2000, 3000, 9000
+#: Bits of a triple's place in the table of weights.
+TABLE_BITS = 20
+_EDGE = 1
 _STEPS = [(i, j) for j in range(2, SPAN) for i in range(1, j)]
 _WEIGHT = np.array([DECAY ** (j + 1) for _, j in _STEPS])
 
-# The letter that a digit stands for, and the class of an accented Latin-1 letter's second byte.
-_DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"}
-_ACCENTED = ["àáâãäåæ", "èéêë", "ìíîïòóôõöøùúûü", "çñýÿß"]
-
-_SYMBOL = np.zeros(256, np.uint8)
-for _c in range(26):
-    _SYMBOL[65 + _c] = _SYMBOL[97 + _c] = 1 + _c
-for _d, _l in _DIGITS.items():
-    _SYMBOL[ord(_d)] = ord(_l) - 96
-_SYMBOL[128:192] = 27 + np.arange(64) % 4
-_AFTER_C3 = _SYMBOL.copy()
-for _k, _forms in enumerate(_ACCENTED):
-    for _f in {*_forms, *_forms.upper()}:
-        if len(_b := _f.encode()) == 2 and _b[0] == 0xC3:
-            _AFTER_C3[_b[1]] = 27 + _k
+# The letter that a digit or sign stands for, and code points of scripts that are written without spaces.
+_STANDS_FOR = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
+_DENSE = [(0x0E00, 0x0F00), (0x1000, 0x10A0), (0x1780, 0x1800), (0x2E80, 0xAC00)]
+
+
+@lru_cache(maxsize=1)
+def _alphabet() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point under 2 ** 16 the letter that it counts as, without case (0: none), and whether its script has no spaces."""
+    letter, dense = np.zeros(1 << 16, np.uint16), np.zeros(1 << 16, bool)
+    for point in [*range(0xD800), *range(0xE000, 1 << 16)]:
+        kind = unicodedata.category(chr(point))
+        if kind[0] == "L" or (kind in ("Mc", "Mn") and not 0x300 <= point < 0x370):
+            small = ord(chr(point).lower()[0])
+            letter[point] = small if small < 1 << 16 else point
+    for sign, stands in _STANDS_FOR.items():
+        letter[ord(sign)] = ord(stands)
+    for low, high in _DENSE:
+        dense[low:high] = True
+    return letter, dense
+
+
+def letters_of(raw: np.ndarray) -> np.ndarray:
+    """The letter that begins at each byte of UTF-8, 0 where none does; those beyond 2 ** 16 share the upper half of the codes."""
+    table = _alphabet()[0]
+    at = np.flatnonzero((raw & 0xC0) != 0x80)
+    point = raw[at].astype(np.uint32)
+    wide = np.flatnonzero(point >= 0xC0)
+    if len(wide):
+        more = np.concatenate([raw, np.zeros(3, np.uint8)])
+        one, two, three = ((more[at[wide] + k] & 0x3F).astype(np.uint32) for k in (1, 2, 3))
+        lead = point[wide]
+        point[wide] = np.where(lead < 0xE0, (lead & 0x1F) << 6 | one, np.where(lead < 0xF0, (lead & 0x0F) << 12 | one << 6 | two, (lead & 0x07) << 18 | one << 12 | two << 6 | three))
+    found = table[np.minimum(point, 0xFFFF)]
+    far = point >= 1 << 16
+    found[far] = np.where(point[far] >= 0x20000, (point[far] & 0x7FFF) | 0x8000, 0)
+    out = np.zeros(len(raw), np.uint16)
+    out[at] = found
+    return out
 
 
 def letter_words(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -53,11 +84,9 @@ def letter_words(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
 
     Letters spelt one by one (three words or more of one letter) are one word
     besides, a letter more than twice in a row counts twice, and a word above
-    WINDOW letters is its windows.
+    WINDOW letters (DENSE_WINDOW in a script without spaces) is its windows.
     """
-    symbols = _SYMBOL[raw]
-    lead = np.flatnonzero(raw[:-1] == 0xC3) if len(raw) else np.empty(0, int)
-    symbols[lead + 1] = _AFTER_C3[raw[lead + 1]]
+    symbols = letters_of(raw)
     kept = symbols > 0
     count = np.zeros(len(raw) + 1, np.int64)
     np.cumsum(kept, out=count[1:])
@@ -86,35 +115,41 @@ def letter_words(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
         long = runs[length >= 3]
         s, e, row = np.r_[s, s[long]], np.r_[e, s[long] + length[length >= 3]], np.r_[row, row[long]]
     size = e - s
-    wide = np.flatnonzero(size > WINDOW)
+    most = np.where(_alphabet()[1][letters[s]], DENSE_WINDOW, WINDOW) if len(s) else s
+    wide = np.flatnonzero(size > most)
     if len(wide):
-        half = WINDOW // 2
-        parts = -(-(size[wide] - WINDOW) // half) + 1
+        half = most[wide] // 2
+        parts = -(-(size[wide] - most[wide]) // half) + 1
         own = np.repeat(wide, parts)
         step = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        more = s[own] + half * step
-        rest = size <= WINDOW
-        s, e, row = np.r_[s[rest], more], np.r_[e[rest], np.minimum(more + WINDOW, e[own])], np.r_[row[rest], row[own]]
+        more = s[own] + np.repeat(half, parts) * step
+        rest = size <= most
+        s, e, row = np.r_[s[rest], more], np.r_[e[rest], np.minimum(more + most[own], e[own])], np.r_[row[rest], row[own]]
     order = np.argsort(s, kind="stable")
     return letters, s[order], e[order], row[order]
 
 
 def _as_words(letters: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """The spans as fixed-width byte strings."""
+    """The spans, one a line, 0 behind the last letter."""
     n = e - s
-    out = np.zeros((len(s), WINDOW), np.uint8)
+    out = np.zeros((len(s), WINDOW), np.uint16)
     inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     out[np.repeat(np.arange(len(s)), n), inner] = letters[np.repeat(s, n) + inner]
-    return out.view(f"S{WINDOW}").reshape(-1)
+    return out
+
+
+def _distinct(letters: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One place of each distinct word, and for every word which of those it is."""
+    _, one, back = np.unique(span_hashes(letters.view(np.uint8), 2 * s, 2 * e, fold=False), return_index=True, return_inverse=True)
+    return one, back
 
 
 def _grid(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The words between edge marks, padded, one a line; and their lengths with the marks."""
-    words = np.asarray(words, f"S{WINDOW}")
-    grid = np.zeros((len(words), WINDOW + 2), np.int32)
+    """The words between edge marks; and their lengths with the marks."""
+    grid = np.zeros((len(words), WINDOW + 2), np.uint32)
     grid[:, 0] = _EDGE
-    grid[:, 1:-1] = np.ascontiguousarray(words).view(np.uint8).reshape(len(words), WINDOW)
-    n = (grid[:, 1:-1] > 0).sum(axis=1)
+    grid[:, 1:-1] = words
+    n = (words > 0).sum(axis=1)
     grid[np.arange(len(words)), n + 1] = _EDGE
     return grid, n + 2
 
@@ -130,222 +165,233 @@ def _norms() -> np.ndarray:
 _NORM = _norms()
 
 
+def triple_place(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The place of each letter triple in the table of weights: a hash, so that any letters of any script have one."""
+    with np.errstate(over="ignore"):
+        x = (a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA77)) ^ ((c + np.uint32(0x165667B1)) * np.uint32(0xC2B2AE3D))
+        x = (x ^ (x >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+    return x >> np.uint32(32 - TABLE_BITS)
+
+
 def _triples(grid: np.ndarray, length: np.ndarray):
     """Yields (weight, lines, triple) for each way to step over a word, at each place where it fits."""
     for (i, j), weight in zip(_STEPS, _WEIGHT, strict=True):
         width = grid.shape[1] - j
-        triple = (grid[:, :width] << 10) | (grid[:, i : i + width] << 5) | grid[:, j : j + width]
-        fits = np.arange(width) < (length - j)[:, None]
-        yield weight, fits, triple
+        yield weight, np.arange(width) < (length - j)[:, None], triple_place(grid[:, :width], grid[:, i : i + width], grid[:, j : j + width])
 
 
-def features(grid: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Explicit triple weights [word, 32 ** 3], for words few enough."""
-    out = np.zeros((len(grid), 32**3), np.float32)
+def features(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The triples that the words hold, sorted, and the explicit weights [word, triple], for words few enough."""
+    grid, length = _grid(words)
+    lines, triples, weights = [], [], []
     for weight, fits, triple in _triples(grid, length):
-        line = np.broadcast_to(np.arange(len(grid))[:, None], fits.shape)
-        np.add.at(out, (line[fits], triple[fits]), np.float32(weight))
-    out /= _NORM[length][:, None].astype(np.float32)
+        line = np.broadcast_to(np.arange(len(grid))[:, None], fits.shape)[fits]
+        lines.append(line)
+        triples.append(triple[fits])
+        weights.append(weight / _NORM[length][line])
+    used, column = np.unique(np.concatenate(triples), return_inverse=True)
+    out = np.zeros((len(grid), len(used)), np.float32)
+    np.add.at(out, (np.concatenate(lines), column), np.concatenate(weights).astype(np.float32))
+    return used, out
+
+
+def kernel_values(words: np.ndarray, used: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
+    """Kernels [word, landmark] of words with landmarks, given as what features says of them."""
+    column = np.full(1 << TABLE_BITS, len(used), np.int32)
+    column[used] = np.arange(len(used))
+    by_triple = np.concatenate([landmarks.T, np.zeros((1, len(landmarks)), np.float32)])
+    out = np.zeros((len(words), len(landmarks)), np.float32)
+    for at in range(0, len(words), 512):
+        grid, length = _grid(words[at : at + 512])
+        for weight, fits, triple in _triples(grid, length):
+            for place in np.flatnonzero(fits.any(axis=0)):
+                line = np.flatnonzero(fits[:, place])
+                out[at + line] += np.float32(weight) * by_triple[column[triple[line, place]]]
+        out[at : at + 512] /= _NORM[length][:, None]
+    return out
+
+
+def word_sums(words: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """For each word, its triples' weights summed as the kernel weighs them."""
+    out = np.empty(len(words))
+    for at in range(0, len(words), 1 << 14):
+        grid, length = _grid(words[at : at + (1 << 14)])
+        total = np.zeros(len(grid))
+        for weight, fits, triple in _triples(grid, length):
+            total += weight * np.where(fits, weights[triple], 0).sum(axis=1)
+        out[at : at + (1 << 14)] = total / _NORM[length]
     return out
 
 
 @dataclass
 class ToxicityModel:
+    """The machine: landmarks with a coefficient each, the same folded into weights of triples, a bias, and the scale of scores."""
+
     weights: np.ndarray
     bias: float
     slope: float
     offset: float
+    landmarks: np.ndarray
+    coefficients: np.ndarray
 
     def word_margins(self, words: np.ndarray) -> np.ndarray:
-        out = np.empty(len(words))
-        for at in range(0, len(words), 1 << 14):
-            grid, length = _grid(words[at : at + (1 << 14)])
-            total = np.zeros(len(grid))
-            for weight, fits, triple in _triples(grid, length):
-                total += weight * np.where(fits, self.weights[triple], 0).sum(axis=1)
-            out[at : at + (1 << 14)] = total / _NORM[length] + self.bias
-        return out
+        return word_sums(words, self.weights) + self.bias
 
     def margins(self, column: pa.Array) -> np.ndarray:
-        """The worst word's margin of each text; -inf for a text without a letter."""
+        """Each text's margin; -inf for a text without a letter."""
         raw, offs = text_bytes(column)
         letters, s, e, row = letter_words(raw, offs)
-        out = np.full(len(offs) - 1, -np.inf)
-        if len(s):
-            _, one, back = np.unique(span_hashes(letters, s, e, fold=False), return_index=True, return_inverse=True)
-            np.maximum.at(out, row, self.word_margins(_as_words(letters, s[one], e[one]))[back])
-        return out
+        if not len(s):
+            return np.full(len(offs) - 1, -np.inf)
+        one, back = _distinct(letters, s, e)
+        pairs = np.unique(row * len(one) + back)
+        return _pooled(self.word_margins(_as_words(letters, s[one], e[one]))[pairs % len(one)], pairs // len(one), len(offs) - 1)
 
     def score(self, column: pa.Array) -> np.ndarray:
         margin = np.clip(self.margins(column), -20.0, 20.0)
         return 1.0 / (1.0 + np.exp(-(self.slope * margin + self.offset)))
 
 
+def _pooled(margin: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """The margin of each text from those of its distinct words."""
+    best = np.full(rows, -np.inf)
+    np.maximum.at(best, row, margin)
+    return np.where(best > 0, np.bincount(row, np.maximum(margin, 0), rows), best)
+
+
 class _Texts:
-    """Which words each text holds: the words sorted, and for each text their places in that order."""
+    """Which words each text holds: the distinct words, and for each text their places."""
 
     def __init__(self, texts: list[str]):
-        words, row, word, seen = [], [], [], 0
+        words, row, word, seen = [np.empty((0, WINDOW), np.uint16)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
         for at in range(0, len(texts), 500):
             letters, s, e, own = letter_words(*text_bytes(pa.array(texts[at : at + 500], pa.large_string())))
             if not len(s):
                 continue
-            _, one, back = np.unique(span_hashes(letters, s, e, fold=False), return_index=True, return_inverse=True)
+            one, back = _distinct(letters, s, e)
             pairs = np.unique(own * len(one) + back)
             words.append(_as_words(letters, s[one], e[one]))
             row.append(at + pairs // len(one))
             word.append(seen + pairs % len(one))
             seen += len(one)
-        every = np.concatenate([np.empty(0, f"S{WINDOW}"), *words])
-        self.words, place = np.unique(every, return_inverse=True)
-        self.row = np.concatenate([np.empty(0, int), *row]).astype(np.int64)
-        self.word = place[np.concatenate([np.empty(0, int), *word]).astype(np.int64)].astype(np.int32)
+        every = np.ascontiguousarray(np.concatenate(words))
+        _, one, place = np.unique(every.view(f"V{2 * WINDOW}").reshape(-1), return_index=True, return_inverse=True)
+        self.n, self.words, self.row, self.word = len(texts), every[one], np.concatenate(row), place[np.concatenate(word)]
         self.first = np.searchsorted(self.row, np.arange(len(texts) + 1))
 
-    def of(self, text: int) -> np.ndarray:
-        return self.word[self.first[text] : self.first[text + 1]]
-
     def counts(self, texts: np.ndarray) -> np.ndarray:
         """In how many of the texts (a mask) each word is."""
         return np.bincount(self.word[texts[self.row]], minlength=len(self.words))
 
+    def highest(self, margin: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """(text, word) of each text's words of highest margin."""
+        order = np.lexsort((-margin[self.word], self.row))
+        kept = np.arange(len(order)) - self.first[self.row] < most
+        return self.row[order][kept], self.word[order][kept]
+
+
+def _triple_counts(words: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The weights of all triples in the words, each word so many times."""
+    out = np.zeros(1 << TABLE_BITS)
+    there = np.flatnonzero(times)
+    for at in range(0, len(there), 1 << 14):
+        some = there[at : at + (1 << 14)]
+        grid, length = _grid(words[some])
+        each = np.broadcast_to((times[some] / _NORM[length])[:, None], (len(some), grid.shape[1]))
+        for weight, fits, triple in _triples(grid, length):
+            out += np.bincount(triple[fits], weight * each[:, : fits.shape[1]][fits], 1 << TABLE_BITS)
+    return out
+
+
+def _witness(texts: _Texts, bad: np.ndarray) -> np.ndarray:
+    """A first margin of each word: how much oftener its triples are in toxic texts than in clean ones, as a sum of log odds."""
+    toxic, clean = (_triple_counts(texts.words, texts.counts(of)) for of in (bad, ~bad))
+    return word_sums(texts.words, np.log((toxic + 2.0) / (clean * bad.sum() / (~bad).sum() + 2.0)))
+
 
-def _witnesses(texts: _Texts, bad: np.ndarray) -> np.ndarray:
-    """Words that the toxic texts hold far oftener than chance lets them.
+def _machine(bags: np.ndarray, of: np.ndarray, clean: np.ndarray, weight: np.ndarray, cost: float) -> np.ndarray:
+    """The linear machine of least squared hinge: words `bags` of toxic texts `of` (0, 1, ...) sum up to 1 above 0, clean words stay at -1.
 
-    A word's split over toxic and clean texts must be unlikely (Chernoff's bound
-    under one chance in a hundred over all words together) and twenty to one,
-    with near copies among up to 32 of its texts counted once; and those texts
-    must not share fourteen such words that come about as often as this one, as
-    those of a passage do that many texts hold.
+    The words of a toxic text that count are those above 0, or its best one.
+    Given those the problem is convex; it is solved, and they are chosen anew,
+    until they stay the same, each turn lowering the loss.
     """
-    k, c = texts.counts(bad).astype(float), texts.counts(~bad).astype(float)
-    share = bad.mean()
-    q = k / np.maximum(1, k + c)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        unlikely = k * np.log(q / share) + np.where(c > 0, c * np.log((1 - q) / (1 - share)), 0.0)
-    limit = np.log(100.0 * max(1, len(k)))
-    held = (k > 0) & (unlikely >= limit) & (k * (1 - share) >= 20 * c * share)
-    total = k + c
-    order = np.argsort(texts.word, kind="stable")
-    low, high = (np.searchsorted(texts.word[order], np.arange(len(k)), side) for side in ("left", "right"))
-    out = []
-    for w in np.flatnonzero(held):
-        rows = texts.row[order[low[w] : high[w]]]
-        rows = rows[bad[rows]]
-        some = [texts.of(i) for i in rows[np.unique(np.linspace(0, len(rows) - 1, 32).astype(int))]]
-        own, shared = some[:1], [0]
-        for x in some[1:]:
-            apart = True
-            for y in own:
-                both = np.intersect1d(x, y, assume_unique=True)
-                shared.append((held[both] & (abs(total[both] - total[w]) <= 0.25 * total[w])).sum())
-                apart &= len(both) < 0.4 * (len(x) + len(y) - len(both))
-            if apart:
-                own.append(x)
-        if unlikely[w] * len(own) / len(some) >= limit and np.median(shared[1:] or shared) < 14:
-            out.append(w)
-    return texts.words[out]
-
-
-def _spread(word: bytes, rng: np.random.Generator, copies: int = 3) -> list[bytes]:
-    """The word with one letter put in somewhere, a few times over."""
-    if not 5 <= len(word) < WINDOW:
-        return []
-    return [word[:i] + bytes([int(rng.integers(1, 27))]) + word[i:] for i in rng.integers(1, len(word), copies)]
-
-
-def _machine(words: np.ndarray, y: np.ndarray, cost: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, float]:
-    """Squared-hinge machine on the chosen landmarks' kernel values; folded into (weight of each triple, bias)."""
-    phi_l = np.concatenate([features(*_grid(words[chosen[a : a + 64]])) for a in range(0, len(chosen), 64)])
-    used = np.flatnonzero(phi_l.any(axis=0))
-    phi_l = phi_l[:, used]
-    column = np.full(32**3, len(used), np.int32)
-    column[used] = np.arange(len(used))
-    by_triple = np.concatenate([phi_l.T, np.zeros((1, len(chosen)), np.float32)])
-    k = np.zeros((len(words), len(chosen)), np.float32)
-    for at in range(0, len(words), 512):
-        grid, length = _grid(words[at : at + 512])
-        for weight, fits, triple in _triples(grid, length):
-            for place in np.flatnonzero(fits.any(axis=0)):
-                line = np.flatnonzero(fits[:, place])
-                k[at + line] += np.float32(weight) * by_triple[column[triple[line, place]]]
-        k[at : at + 512] /= _NORM[length][:, None]
-    values, vectors = np.linalg.eigh((phi_l @ phi_l.T).astype(float))
-    good = values > 1e-6 * values.max()
-    root = vectors[:, good] / np.sqrt(values[good])
-    z = np.c_[k @ root.astype(np.float32), np.ones(len(k), np.float32)]
-    del k, by_triple
-    w = np.zeros(z.shape[1])
-    ridge = np.eye(len(w))
+    texts, width = int(of.max()) + 1, bags.shape[1]
+    ridge = np.eye(width)
     ridge[-1, -1] = 1e-6
-    active = np.ones(len(y), bool)
-    for _ in range(30):
-        left, right = ridge.copy(), np.zeros(len(w))
-        for at in range(0, len(y), 1024):
-            on = np.flatnonzero(active[at : at + 1024]) + at
-            part = z[on].astype(np.float64)
-            left += (part * cost[on, None]).T @ part
-            right += (part * cost[on, None]).T @ y[on]
-        w = np.linalg.solve(left, right)
-        now = y * (z @ w) < 1
-        if (now == active).all():
+    counts = np.r_[True, of[1:] != of[:-1]]
+    below, above = np.ones(texts, bool), np.ones(len(clean), bool)
+    for _ in range(6):
+        summed = np.zeros((texts, width), np.float32)
+        np.add.at(summed, of[counts], bags[counts])
+        for _ in range(12):
+            heavy = clean[above] * weight[above, None].astype(np.float32)
+            left = ridge + cost * (summed[below].T.astype(float) @ summed[below] + heavy.T.astype(float) @ clean[above])
+            w = np.linalg.solve(left, cost * (summed[below].sum(axis=0, dtype=float) - heavy.sum(axis=0, dtype=float)))
+            now = summed @ w < 1, clean @ w > -1
+            done = (now[0] == below).all() and (now[1] == above).all()
+            below, above = now
+            if done:
+                break
+        margin = bags @ w
+        best = np.full(texts, -np.inf)
+        np.maximum.at(best, of, margin)
+        chosen = (margin > 0) | ((best <= 0)[of] & (margin == best[of]))
+        if (chosen == counts).all():
             break
-        active = now
-    weights = np.zeros(32**3)
-    weights[used] = (root @ w[:-1]) @ phi_l
-    return weights, float(w[-1])
+        counts = chosen
+    return w
 
 
-def train_toxicity(rows: list[tuple[str, int]], landmarks: int = 384, rounds: int = 3, penalty: float = 10_000.0, seed: int = 3) -> ToxicityModel:
-    """The machine learned from labelled texts; a text's label says that some word of it is an insult, not which.
+def train_toxicity(rows: list[tuple[str, int]], landmarks: int = 384, rounds: int = 2, cost: float = 1.0, seed: int = 3) -> ToxicityModel:
+    """The machine learned from labelled texts.
 
-    First the words that mark toxic texts are sought by their counts; each round trains on them against words of clean
-    texts, adds the worst word of each toxic text still unexplained if the
-    machine is sure of it, and the clean words that it gets wrong.  Each insult is
-    learned with a letter put in, too.  Without both
-    labels nothing is toxic: the score is the share of label 1.
+    Landmarks are words: half of them those that stand for most toxic texts,
+    half clean ones.  Each round takes the WORDS_PER_TEXT words of highest margin
+    for each text, the first time by the triples' odds in toxic and clean texts,
+    and trains on them, with common and random clean words beside.  All texts
+    given count, and every word of them is scored in every round.  Without both
+    labels the score is the share of label 1 whatever the text.
     """
     rows = sorted(set(rows))
-    y = np.array([1 if r[1] else 0 for r in rows])
-    if len(np.unique(y)) < 2:
-        share = (y.sum() + 1.0) / (len(y) + 2.0) if len(y) and y.all() else 0.0
-        return ToxicityModel(np.zeros(32**3, np.float32), 0.0, 0.0, float(np.log((share + 1e-6) / (1 - share + 1e-6))))
-    bad = y == 1
+    bad = np.array([bool(r[1]) for r in rows])
     texts = _Texts([r[0] for r in rows])
-    positive = set(_witnesses(texts, bad).tolist())
-    clean = texts.counts(~bad)
-    every = np.flatnonzero(clean)
+    if len(np.unique(bad)) < 2 or not texts.counts(bad).any() or not texts.counts(~bad).any():
+        share = (bad.sum() + 1.0) / (len(bad) + 2.0) if len(bad) and bad.all() else 0.0
+        return ToxicityModel(np.zeros(1 << TABLE_BITS, np.float32), 0.0, 0.0, float(np.log((share + 1e-6) / (1 - share + 1e-6))), np.empty((0, WINDOW), np.uint16), np.empty(0))
     rng = np.random.default_rng(seed)
-    common = every[np.argsort(-clean[every], kind="stable")[:2000]]
-    negative = set(texts.words[np.r_[rng.permutation(every)[:6000], common]].tolist()) - positive
-    if not positive or not negative:
-        return ToxicityModel(np.zeros(32**3, np.float32), 0.0, 0.0, -20.0)
-    for turn in range(rounds):
-        p, n = sorted(positive), sorted(negative)
-        spread = sorted(set().union(*(_spread(w, rng) for w in p)) - positive - negative)
-        y_words = np.r_[np.ones(len(p) + len(spread)), -np.ones(len(n))]
-        weight = np.r_[np.full(len(p), 1.0 / len(p)), np.full(len(spread), 0.1 / max(1, len(spread))), np.full(len(n), 1.0 / len(n))]
-        chosen = np.r_[rng.permutation(len(p))[: landmarks // 2], len(p) + len(spread) + rng.permutation(len(n))[: landmarks // 2]]
-        weights, bias = _machine(np.array([*p, *spread, *n], f"S{WINDOW}"), y_words, weight * penalty, chosen)
-        model = ToxicityModel(weights.astype(np.float32), bias, 4.0, 0.0)
+    clean = texts.counts(~bad)
+    seen = np.flatnonzero(clean)
+    plain = np.unique(np.r_[rng.permutation(seen)[:RANDOM_WORDS], seen[np.argsort(-clean[seen], kind="stable")[:COMMON_WORDS]]])
+    hard = np.empty(0, np.int64)
+    margin = _witness(texts, bad)
+    for _ in range(rounds):
+        of, word = texts.highest(margin, WORDS_PER_TEXT)
+        mine, hers = bad[of], ~bad[of]
+        hard = np.union1d(hard, word[hers])
+        hard = np.sort(hard[np.argsort(-margin[hard], kind="stable")[:HARD_WORDS]])
+        some, times = np.unique(word[mine], return_counts=True)
+        chosen = np.unique(np.r_[some[np.argsort(-times, kind="stable")[: landmarks // 2]], rng.permutation(hard)[: landmarks // 4], rng.permutation(plain)[: landmarks // 4]])
+        used, phi = features(texts.words[chosen])
+        values, vectors = np.linalg.eigh((phi @ phi.T).astype(float))
+        good = values > 1e-5 * values.max()
+        root = vectors[:, good] / np.sqrt(values[good])
+        against = np.union1d(hard, plain)
+        both = np.union1d(some, against)
+        z = np.c_[kernel_values(texts.words[both], used, phi) @ root.astype(np.float32), np.ones(len(both), np.float32)]
+        _, bag = np.unique(of[mine], return_inverse=True)
+        weight = bad.sum() / 5000 * np.sqrt(clean[against])
+        w = _machine(z[np.searchsorted(both, word[mine])], bag, z[np.searchsorted(both, against)], weight, cost)
+        coefficients = root @ w[:-1]
+        weights = np.zeros(1 << TABLE_BITS, np.float32)
+        weights[used] = coefficients @ phi
+        model = ToxicityModel(weights, float(w[-1]), 6.0, 0.0, texts.words[chosen], coefficients)
         margin = model.word_margins(texts.words)
-        hard = every[np.argsort(-margin[every], kind="stable")[:1500]]
-        negative |= set(texts.words[hard[margin[hard] > -0.5]].tolist()) - positive
-        known = np.isin(texts.words, np.array(sorted(positive), f"S{WINDOW}"))
-        for text in np.flatnonzero(bad):
-            own = texts.of(text)
-            if len(own) and not known[own].any():
-                worst = own[margin[own].argmax()]
-                if margin[worst] > 0.5 and not clean[worst]:
-                    positive.add(texts.words[worst])
     # The score is one half where the fewest texts are wrong, a clean one counted four times: in the middle of that range.
-    margin = np.concatenate([model.margins(pa.array([r[0] for r in rows[a : a + 500]], pa.large_string())) for a in range(0, len(rows), 500)])
+    whole = _pooled(margin[texts.word], texts.row, texts.n)
     tries = np.linspace(-1.0, 1.5, 251)
-    wrong = np.array([(margin[bad] < t).sum() + 4 * (margin[~bad] >= t).sum() * bad.sum() / (~bad).sum() for t in tries])
-    best = tries[wrong == wrong.min()]
-    model.slope = 6.0
-    model.offset = float(-model.slope * best.mean())
+    wrong = np.array([(whole[bad] < t).sum() + 4 * (whole[~bad] >= t).sum() * bad.sum() / (~bad).sum() for t in tries])
+    model.offset = float(-model.slope * tries[wrong == wrong.min()].mean())
     return model
 
 
