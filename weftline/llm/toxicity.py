@@ -244,7 +244,8 @@ class ToxicityModel:
         if not len(s):
             return np.full(len(offs) - 1, -np.inf)
         one, back = _distinct(letters, s, e)
-        pairs = np.unique(row * len(one) + back)
+        pairs = np.sort(row * len(one) + back)
+        pairs = pairs[np.r_[True, pairs[1:] != pairs[:-1]]]
         return _pooled(self.word_margins(_as_words(letters, s[one], e[one]))[pairs % len(one)], pairs // len(one), len(offs) - 1)
 
     def score(self, column: pa.Array) -> np.ndarray:
