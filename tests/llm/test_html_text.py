@@ -1,9 +1,12 @@
 import html
 import os
+import random
 import re
+import time
 
 import pytest
 
+from weftline.llm import html_text
 from weftline.llm.html_text import extract_main_text, main_text
 
 A = "The first paragraph of the story, with commas, and words enough to count as text."
@@ -102,3 +105,67 @@ def test_given_pages_by_their_template(spark):
 )
 def test_wrappers_named_as_furniture(page):
     assert main_text(f"<html><body>{page}</body></html>") == WANT
+
+
+LEAD = "The lead of the story, which says in brief, and well, what it is all about."
+KEPT = {
+    "a form around all": (f"<form id='aspnetForm'>{CHROME}<div class='main'>{BODY}</div>{TAIL}</form>", WANT),
+    "a wrapper named widget": (f"{CHROME}<div class='widget-content'>{BODY}</div>{TAIL}", WANT),
+    "the article's own header": (f"{CHROME}<article><div class='article-header'><h1>Title</h1><p>{LEAD}</p></div>{BODY}</article>{TAIL}", f"Title\n\n{LEAD}\n\n{WANT}"),
+    "beside the article's text": (f"{CHROME}<div id='content'><div class='article-header'><h1>Title</h1><p>{LEAD}</p></div><div class='x'>{BODY}</div></div>{TAIL}", f"Title\n\n{LEAD}\n\n{WANT}"),
+    "a share's price": (f"{CHROME}<article>{BODY}<p class='share-price'>It rose.</p></article>{TAIL}", f"{WANT}\n\nIt rose."),
+    "ad hoc": (f"{CHROME}<article>{BODY}<p class='ad-hoc'>A remark.</p></article>{TAIL}", f"{WANT}\n\nA remark."),
+    "a note on a search": (f"{CHROME}<article>{BODY}<p class='search-results-note'>A note.</p></article>{TAIL}", f"{WANT}\n\nA note."),
+    "references": (f"{CHROME}<article>{BODY}<h2>References</h2><ul><li><a href='/1'>A first work</a></li><li><a href='/2'>A second</a>, 1999</li></ul></article>{TAIL}", f"{WANT}\n\nReferences\n\nA first work\n\nA second, 1999"),
+    "a table of links and years": (f"{CHROME}<article>{BODY}<table><tr><td><a href='/1'>A first work, on this</a></td><td>1998</td></tr></table></article>{TAIL}", f"{WANT}\n\nA first work, on this\n\n1998"),
+    "a comment that ends at once": (f"{CHROME}<article><!-->{BODY}<!---></article>{TAIL}<!-- x -->", WANT),
+    "names that say nothing but furniture": (f"{CHROME}<article>{BODY}<p class='ad'>Buy.</p><p class='cookie-notice'>We use them.</p></article>{TAIL}", WANT),
+}
+
+
+@pytest.mark.parametrize("name", KEPT)
+def test_what_names_and_links_may_not_take_away(name):
+    page, want = KEPT[name]
+    assert main_text(f"<html><body>{page}</body></html>") == want
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<div>" * 100_000 + A, "<p>" * 100_000 + A, "<div class='sidebar'>" * 30_000 + A, "<span hidden>" * 30_000 + A, "<div><p>x, y</p>" * 20_000, "<ul><li>" * 30_000 + A]
+    + ["<div>" * 20_000 + "</p>" * 40_000 + A, "<div><table><td>" + "<ul>" * 20_000 + "</div>" * 40_000 + A, "<table><tr><td>" * 15_000 + A, "<main><section class='ad'>" * 15_000 + A, "<div>" * 20_000 + "<html>" * 40_000 + A],
+    ids=range(11),
+)
+def test_time_is_in_proportion_to_the_page(page):
+    began = time.process_time()
+    assert A in main_text(page) or "x, y" in main_text(page)
+    assert time.process_time() - began < 10
+
+
+def test_points_against_a_walk_over_all_ancestors():
+    rng = random.Random(1)
+    for _ in range(30):
+        page = "".join(rng.choice(["<div>", "<section>", "</div>", "</section>", f"<p>{A}</p>", f"<p><a href='x'>{B}</a>, and {C}</p>", "some text, loose", "<ul><li>one, two</li></ul>", "<h2>Head</h2>", "<table><tr><td>a, b</td></tr></table>"]) for _ in range(60))
+        root = html_text.parse(page)
+        kept = html_text._score(root)
+        every, stack = [], [root]
+        while stack:
+            every.append(stack.pop())
+            stack += [c for c in every[-1].children if isinstance(c, html_text.Node)]
+        points, size = dict.fromkeys(every, 0.0), dict.fromkeys(every, 0)
+        for node in every:
+            whole, _, mine = html_text._own(node)
+            above, weight = node, 1.0
+            if node.name in ("p", "li", "td", "tr"):
+                above = node.parent
+            level = 0
+            while above is not None:
+                points[above] += mine * weight
+                above, level = above.parent, level + 1
+                weight = 0.5 if level == 1 else weight / 3
+            above = node
+            while above is not None:
+                size[above] += len(whole)
+                above = above.parent
+        assert all(n.points == pytest.approx(points[n]) and n.size == size[n] for n in every)
+        best = max(kept, key=html_text._worth)
+        assert html_text._worth(best) == pytest.approx(max(points[n] * (1 - min(1, n.links / max(1, n.size))) for n in kept))

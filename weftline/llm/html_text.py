@@ -1,17 +1,19 @@
 """Main text of web pages by tree scoring.
 
 A page becomes a tree of blocks.  Each block of text passes points for its
-length and commas to its ancestors; a container's points are discounted by its
-share of link text; the best container and those of its siblings that look like
-it are kept, without the parts that tag, role or class name as furniture.  A
-form, or a block that only its class or id names so, is kept after all if it
-holds the main element or most of the points of the page.
+length and commas to its ancestors, fewer from level to level; a container's
+points are discounted by its share of link text; the best container and those of
+its siblings that look like it are kept, without the parts that tag, role or
+class name as furniture.  A form, or a block that only its class or id names so,
+is kept after all if it holds the main element or most of the points of the
+page.  Time is in proportion to the page, however deep or broken it is.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -53,27 +55,32 @@ _OWN_TEXT = set(
     " recommend recommended recommendations related replies reply respond taboola trackback".split()
 )
 _BESIDE = {"has", "with", "no", "without"}
+# Elements that hold text rather than parts of a page: a name must say nothing but furniture to make them so.
+_PASSAGES = set("p blockquote pre li dt dd td th caption figcaption address".split())
+_CELLS = ("td", "th", "table")
 #: What Node.gone says: kept, gone, gone by its name only, and gone by the name of a part with much text.
 _KEPT, _CUT, _NAMED, _NAMED_TEXT = range(4)
 _CONTENT = set("article content main post entry story text body page wrapper container".split())
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?P<end>>|\Z)"
     r"|<(?P<broken>/?[a-zA-Z][^>]*)(?:>|\Z)",
     re.S,
 )
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)[^>]*>")
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([^\s=/>\"']+)", re.S)
 _PIECE = re.compile(r"[a-z0-9]+")
 
 
 class Node:
-    __slots__ = ("children", "gone", "links", "name", "parent", "points", "size")
+    __slots__ = ("children", "depth", "direct", "gone", "links", "name", "parent", "passed", "points", "size")
 
     def __init__(self, name: str, parent: Node | None, gone: int = _KEPT):
         self.name, self.parent, self.gone = name, parent, gone
+        self.depth: int = 0 if parent is None else parent.depth + 1
         self.children: list = []
-        self.points, self.size, self.links = 0.0, 0, 0
+        self.points, self.direct, self.passed, self.size, self.links = 0.0, 0.0, 0.0, 0, 0
 
 
 def _attributes(rest: str) -> dict[str, str]:
@@ -99,8 +106,12 @@ def _furniture(name: str, rest: str) -> int:
         pieces = _PIECE.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", word).lower())
         if not pieces or pieces[0] in ("has", "with", "no", "without", "is"):
             continue
-        last = pieces[-1] in _FURNITURE and name not in ("main",) and _BESIDE.isdisjoint(pieces[:-1])
-        if pieces[0] in _FURNITURE or last:
+        first, last = pieces[0] in _FURNITURE, pieces[-1] in _FURNITURE and name != "main" and _BESIDE.isdisjoint(pieces[:-1])
+        if pieces[0] in _CONTENT and pieces[-1] == "header":
+            last = False
+        if name in _PASSAGES:
+            first = last = all(w in _FURNITURE for w in pieces)
+        if first or last:
             if name in _HEADINGS or name == "article" and pieces[0] in _CONTENT:
                 continue
             if name not in _BLOCKS:
@@ -109,14 +120,53 @@ def _furniture(name: str, rest: str) -> int:
     return here
 
 
+class _Open:
+    """The elements that are open, outermost first, and where in that row those of each name are."""
+
+    def __init__(self, root: Node):
+        self.row, self.places = [root], {}
+
+    def last(self, *names: str) -> int:
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=0)
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.name, []).append(len(self.row))
+        self.row.append(node)
+
+    def shut(self, place: int) -> None:
+        """Ends the element there and all in it; 0, the page itself, ends nothing."""
+        while place and len(self.row) > place:
+            self.places[self.row.pop().name].pop()
+
+    def outermost(self, names: set[str], inside: int) -> int:
+        found = []
+        for n in names:
+            places = self.places.get(n, [])
+            k = bisect_right(places, inside)
+            found += places[k : k + 1]
+        return min(found, default=0)
+
+
+def _ends(page: str) -> dict[int, int]:
+    """Where the element of each start tag ends, for those that have an end tag, by the place behind the start tag."""
+    out, begun = {}, {}
+    for tag in _TAG.finditer(page):
+        places = begun.setdefault(tag[2].lower(), [])
+        if not tag[1]:
+            places.append(tag.end())
+        elif places:
+            out[places.pop()] = tag.end()
+    return out
+
+
 def parse(page: str) -> Node:
     """The tree of block elements; text is (string, is it in a link), inline tags leave no trace."""
     root = Node("#page", None)
-    here, link, at = root, 0, 0
+    still, link, at, ends = _Open(root), 0, 0, None
 
     def text(piece: str) -> None:
         if piece:
-            here.children.append((html.unescape(piece) if "&" in piece else piece, link > 0))
+            still.row[-1].children.append((html.unescape(piece) if "&" in piece else piece, link > 0))
 
     while True:
         found = _TOKEN.search(page, at)
@@ -132,28 +182,22 @@ def parse(page: str) -> Node:
             continue
         name = name.lower()
         if found["close"]:
+            place = still.last(name)
             if name == "a":
                 link = 0
-            elif name in _BLOCKS or name in _GONE:
-                node = here
-                while node is not root and node.name != name:
-                    if node.name in ("td", "th", "table") and name in ("p", "li", "div", "section", "article") and name != node.name:
-                        node = root
-                        break
-                    node = node.parent
-                if node is not root:
-                    here, link = node.parent, 0
+            elif place and not (name in ("p", "li", "div", "section", "article") and still.last(*_CELLS) > place):
+                still.shut(place)
+                link = 0
             continue
         if name in _RAW:
             end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
-        if name == "br" or name in ("img", "wbr") or name in _VOID:
-            if name in ("br", "hr"):
-                if name == "hr":
-                    here.children.append(Node("hr", here))
-                else:
-                    text(" ")
+        if name in _VOID:
+            if name == "hr":
+                still.row[-1].children.append(Node("hr", still.row[-1]))
+            elif name == "br":
+                text(" ")
             continue
         if name == "a":
             link = 1
@@ -161,38 +205,21 @@ def parse(page: str) -> Node:
         gone = _furniture(name, found["rest"])
         if name not in _BLOCKS and not gone:
             continue
-        if name in _CLOSES_P:
-            node = here
-            while node is not root and node.name not in ("p", "td", "th", "table"):
-                node = node.parent
-            if node.name == "p":
-                here = node.parent
+        if name in _CLOSES_P and still.last("p") > still.last(*_CELLS):
+            still.shut(still.last("p"))
         if name in _SELF_CLOSING:
             shut, stop = _SELF_CLOSING[name]
-            node, last = here, None
-            while node is not root and node.name not in stop:
-                if node.name in shut:
-                    last = node
-                node = node.parent
-            if last is not None:
-                here = last.parent
-        if found["rest"].endswith("/") and name not in _BLOCKS:
-            continue
-        if name in ("html", "body") and any(n.name == name for n in _up(here)):
+            still.shut(still.outermost(shut, still.last(*stop)))
+        if found["rest"].endswith("/") and name not in _BLOCKS or name in ("html", "body") and still.last(name):
             continue
-        child = Node(name, here, gone)
-        here.children.append(child)
+        child = Node(name, still.row[-1], gone)
+        still.row[-1].children.append(child)
         if name in _BLOCKS or name in _GONE:
-            here = child
+            still.push(child)
         else:
             # a hidden inline element: what it holds goes, up to its end tag
-            child.name = name
-            depth, end = 1, re.compile(rf"<(/?){re.escape(name)}(?=[\s/>])[^>]*>", re.I)
-            for tag in end.finditer(page, at):
-                depth += -1 if tag[1] else 1
-                if not depth:
-                    at = tag.end()
-                    break
+            ends = _ends(page) if ends is None else ends
+            at = ends.get(at, at)
 
 
 def _up(node: Node | None):
@@ -238,40 +265,46 @@ def _reconsider(root: Node) -> None:
     for node in order:
         if node.gone or node.parent in shut:
             shut.add(node)
-    articles = [n for n in order if n.name in ("article", "main") and n not in shut]
+    # articles with points that count without what is only named, and for each node those around it: how many, and the most points
+    articles = sum(1 for n in order if n.name in ("article", "main") and n not in shut and worth[n] > 0)
+    around: dict[Node, tuple[int, float]] = {}
+    for node in order:
+        count, most = around.get(node.parent, (0, 0.0))
+        here = node.name in ("article", "main") and node not in shut and worth[node] > 0
+        around[node] = (count + here, max(most, worth[node]) if here else most)
     shut.clear()
     for node in order:
         if node.parent not in shut and node.gone in (_NAMED, _NAMED_TEXT):
-            if "main" in holds[node]:
+            count, most = around[node]
+            if "main" in holds[node] or (worth[node] > 0.5 * worth[root] and count == articles and most <= worth[node]):
                 node.gone = _KEPT
-            elif worth[node] > 0.5 * worth[root]:
-                above = set(_up(node))
-                if not any(worth[a] - (worth[node] if a in above else 0.0) > 0 for a in articles):
-                    node.gone = _KEPT
         if node.gone or node.parent in shut:
             shut.add(node)
 
 
 def _score(root: Node) -> list[Node]:
-    """Sizes, links and points of every kept node; the containers."""
+    """Sizes, links and points of every kept node; the containers.
+
+    A block's points go to its container whole, to the next one by half, and on
+    from there by a third from level to level.
+    """
     order, stack = [], [root]
     while stack:
         node = stack.pop()
         order.append(node)
         stack += [c for c in node.children if isinstance(c, Node) and not c.gone]
-    for node in reversed(order):
+    for node in order:
         whole, linked, points = _own(node)
-        node.size += len(whole)
-        node.links += min(len(whole), linked)
+        node.size, node.links = len(whole), min(len(whole), linked)
+        if points:
+            inner = node.name in _PASSAGES or node.name == "tr"
+            (node.parent if inner and node.parent is not None else node).direct += points
+    for node in reversed(order):
+        node.points = node.direct + node.passed
         if node.parent is not None:
             node.parent.size += node.size
             node.parent.links += node.links
-        if whole and node.name not in _HEADINGS:
-            holder = node.parent if node.name in ("p", "pre", "li", "td", "th", "dd", "dt", "blockquote", "tr", "figcaption") else node
-            weight = 1.0
-            for level, above in enumerate(_up(holder)):
-                above.points += points * weight
-                weight = 0.5 if level == 0 else 1 / (3 * (level + 1))
+            node.parent.passed += node.direct / 2 + node.passed / 3
     return [n for n in order if n.size and n.name not in ("p", "tr", "tbody", "thead", "tfoot", "li", "td", "th", "dt", "dd", *_HEADINGS)]
 
 
@@ -283,13 +316,17 @@ def _is_links(node: Node) -> bool:
     return node.size > 0 and node.links > 0.6 * node.size
 
 
+def _is_menu(node: Node, before: str) -> bool:
+    """Whether a list or table is nothing but links, and neither a heading nor a colon leads up to it."""
+    return node.name in ("ul", "ol", "dl", "table") and node.size > 0 and node.links > 0.95 * node.size and not before.endswith(":")
+
+
 def _chosen(root: Node) -> list[Node]:
     """The best container and the siblings that are kept with it, in page order."""
     containers = _score(root)
     if not containers:
         return []
-    depth = lambda n: sum(1 for _ in _up(n))
-    best = max(containers, key=lambda n: (_worth(n), -depth(n)))
+    best = max(containers, key=lambda n: (_worth(n), -n.depth))
     for node in reversed(list(_up(best))):
         if node.name in ("article", "main") and not node.gone and _worth(node) > 0:
             best = node
@@ -320,11 +357,14 @@ def _blocks(node: Node, out: list[str]) -> None:
     run: list[str] = []
 
     def close() -> None:
+        nonlocal led
         whole = " ".join("".join(run).split())
         run.clear()
         if whole:
             out.append(whole)
+            led = ":" if here.name in _HEADINGS and here.name != "h1" else whole
 
+    led, here = "", node
     while stack:
         here, at, only = stack.pop()
         while at < len(here.children):
@@ -337,7 +377,7 @@ def _blocks(node: Node, out: list[str]) -> None:
             if child.name not in _BLOCKS:
                 continue
             close()
-            if child.gone or (child.name in ("ul", "ol", "dl", "table") and _is_links(child)):
+            if child.gone or _is_menu(child, led):
                 continue
             stack.append((here, at, only))
             here, at, only = child, 0, only or child.name == "header"
