@@ -17,10 +17,10 @@ def _text(s):
 
 
 def write_gguf(path, values, tensors, alignment=32, version=3):
-    """values: name to string or integer; tensors: (name, dims, type code, bytes)."""
+    """values: name to string, integer or (type code, bytes); tensors: (name, dims, type code, bytes)."""
     out = struct.pack("<IIQQ", 0x46554747, version, len(tensors), len(values))
     for k, v in values.items():
-        out += _text(k) + (struct.pack("<I", 8) + _text(v) if isinstance(v, str) else struct.pack("<II", 4, v))
+        out += _text(k) + (struct.pack("<I", v[0]) + v[1] if isinstance(v, tuple) else struct.pack("<I", 8) + _text(v) if isinstance(v, str) else struct.pack("<II", 4, v))
     offset, payload = 0, b""
     for name, dims, code, data in tensors:
         out += _text(name) + struct.pack("<I", len(dims)) + struct.pack(f"<{len(dims)}Q", *dims) + struct.pack("<iQ", code, len(payload))

@@ -37,7 +37,10 @@ def world(tmp_path_factory, spark):
     (folder / "notes.txt").write_text("x")
     (folder / ".hidden.gguf").write_text("x")
     out = at / "pack"
-    return at, tool, folder, out, pack(spark, str(folder), str(out), tool)
+    said = []
+    manifest = pack(spark, str(folder), str(out), tool, said.append)
+    assert len(said) == len(manifest.files) and any("near" in line and " s)" in line and "% of the payload" in line for line in said)
+    return at, tool, folder, out, manifest
 
 
 def test_every_plan_and_byte_exact_rebuild(spark, world, tmp_path):
@@ -210,6 +213,11 @@ def test_command_line(spark, world, tmp_path, capsys, monkeypatch):
     assert cli.main(["exec", str(tmp_path / "p"), "tinyA-Q8_0.gguf", "--", "test", "-f", "{}"], spark) == 0
     assert cli.main(["exec", str(tmp_path / "p"), "tinyA-Q8_0.gguf", "--", "sh", "-c", "exit 7"], spark) == 7
     assert cli.main(["exec", str(tmp_path / "p"), "tinyA-Q8_0.gguf", "--", "sh", "-c", "kill -9 $$"], spark) == 137
+    capsys.readouterr()
+    for none in ([], ["--"]):
+        assert cli.main(["exec", str(tmp_path / "p"), "tinyA-Q8_0.gguf", *none], spark) == 1 and "needs a command" in capsys.readouterr().err
+    wide = cli.table([("a" * 60, "1"), ("b", "22")], ("NAME", "N"), "<>").splitlines()
+    assert {len(line) for line in wide} == {64} and wide[2].endswith("  " + " 1")
     assert cli.main(["cache", "ls"], spark) == 0 and cli.main(["cache", "prune", "--max-size", "x"], spark) == 1 and cli.main(["cache", "clear"], spark) == 0
     assert cli.main(["stats", str(tmp_path / "p")], spark) == 0
     (tmp_path / "p" / "manifest.json").write_text("{")

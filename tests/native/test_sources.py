@@ -1,5 +1,7 @@
 import hashlib
 import os
+import struct
+import tempfile
 
 import files
 import pytest
@@ -9,7 +11,22 @@ from pyspark.sql import functions as F
 
 from weftline.functions import scalars as S
 from weftline.operators import relational as R
-from weftline.operators.bytes import BlobError, BlobStore, DeltaError, combined, emit, nonzero, nonzero_column, rechunk, region, xor, xor_column
+from weftline.operators.bytes import (
+    BlobError,
+    BlobStore,
+    Delta,
+    DeltaError,
+    deflate_column,
+    delta_roundtrip,
+    emit,
+    inflate_column,
+    nonzero,
+    nonzero_column,
+    patched,
+    tail,
+    xor,
+    xor_column,
+)
 from weftline.plans.identity import described
 from weftline.plans.packer import congruent
 from weftline.sources.folders import closure, digests, scan_folder
@@ -27,6 +44,10 @@ def test_layout(tmp_path, spark):
     longer = parse_layout(str(files.model(tmp_path / "b.gguf", name="another name")))
     plain = parse_layout(str(files.model(tmp_path / "c.gguf")))
     assert congruent(longer, plain) and longer["data_start"] != plain["data_start"] or longer["header_end"] != plain["header_end"]
+    for kind, form, value in ((10, "<Q", 256), (0, "<B", 64), (5, "<i", 128), (12, "<d", 32.0), (5, "<i", -32), (10, "<Q", 48), (6, "<f", float("nan")), (7, "<?", True)):
+        files.write_gguf(tmp_path / "w.gguf", {"general.alignment": (kind, struct.pack(form, value))}, [("x", (4,), 0, b"0123456789abcdef")], alignment=int(value) if value == value and value > 0 else 32)
+        got = parse_layout(str(tmp_path / "w.gguf"))
+        assert (got["alignment"] == value and got["data_start"] % value == 0) if value in (256, 64, 128, 32.0, True) else "alignment" in got["parse_error"]
     bad = [b"\0" * 4096, data[:40], b"", data[:4] + b"\x09" + data[5:], data[:8] + b"\xff" * 8 + data[16:]]
     paths = [str(path)]
     for i, b in enumerate(bad):
@@ -80,20 +101,44 @@ def test_chunks_and_deltas(tmp_path, spark):
     assert both.agg(F.sum(nonzero_column("d"))).first()[0] == 4
     back = both.select("chunk_idx", xor_column("d", "y").alias("x")).orderBy("chunk_idx").collect()
     assert b"".join(bytes(r.x) for r in back) == data
-    assert b"".join(combined(region(str(tmp_path / "a"), 4, 100_000, 999), region(str(tmp_path / "b"), 6, 100_000, 1234))) == xor(data, bytes(other))
-    with pytest.raises(ValueError):
-        list(combined([b"ab"], [b"abc"]))
+    ab = (str(tmp_path / "a"), 4), (str(tmp_path / "b"), 6)
+    delta = Delta(*ab)
+    whole = b"".join(delta)
+    assert whole == xor(data, bytes(other)) and delta.differing == 4 and b"".join(tail(*ab[0])) == data
+    assert b"".join(patched(*ab[0], [whole[:7], whole[7:50_000], whole[50_000:]])) == bytes(other)
+    for short in ([whole[:-1]], [whole, b"x"]):
+        with pytest.raises(DeltaError):
+            list(patched(*ab[0], short))
     with pytest.raises(DeltaError):
-        list(region(str(tmp_path / "a"), 4, 100_001))
+        list(Delta(ab[0], (str(tmp_path / "b"), 5)))
     with pytest.raises(Exception, match="bytes at"):
         read_chunks(spark, str(tmp_path / "a"), 4, 100_001).collect()
     assert nonzero(xor(data, data)) == 0 and read_chunks(spark, str(tmp_path / "a"), 4, 0).count() == 0
 
 
-@given(st.lists(st.binary(max_size=30), max_size=12), st.integers(1, 17))
-def test_rechunk(chunks, size):
-    out = list(rechunk(chunks, size))
-    assert b"".join(out) == b"".join(chunks) and all(len(c) == size for c in out[:-1]) and all(out)
+@given(st.binary(max_size=60), st.lists(st.integers(1, 17), max_size=8))
+def test_a_delta_however_it_is_cut(data, sizes):
+    with tempfile.NamedTemporaryFile() as file:
+        file.write(b"head" + data)
+        file.flush()
+        delta, at, pieces = bytes(range(len(data))), 0, []
+        for n in [*sizes, len(data)]:
+            pieces.append(delta[at : at + n])
+            at += n
+        assert b"".join(patched(file.name, 4, pieces)) == xor(data, delta)
+
+
+def test_columns_of_bytes_with_nulls_empties_and_slices(spark):
+    rows = [(1, b"abc", b"abd"), (2, None, b"xx"), (3, b"yy", None), (4, None, None), (5, b"", b""), (6, b"\0\1", b"\0\1"), (7, b"zz", b"ZZ")]
+    frame = spark.createDataFrame(rows, "id int, a binary, b binary").coalesce(1)
+    got = frame.select("id", xor_column("a", "b").alias("x"), nonzero_column("a").alias("n"), inflate_column(deflate_column("a")).alias("same")).orderBy("id").collect()
+    assert [r.x and bytes(r.x) for r in got] == [b"\0\0\7", None, None, None, b"", b"\0\0", b"  "]
+    assert [r.n for r in got] == [3, None, 2, None, 0, 1, 2] and [r.same and bytes(r.same) for r in got] == [r[1] for r in rows]
+    once = delta_roundtrip(frame.where("id > 1"), "a", "b").orderBy("id").collect()
+    assert [(r.restored, r.differing) for r in once] == [(None, None)] * 3 + [(True, 0), (True, 0), (True, 2)]
+    assert delta_roundtrip(frame.limit(0), "a", "b").collect() == []
+    with pytest.raises(Exception, match="different lengths"):
+        spark.createDataFrame([(b"a", b"bc")], "a binary, b binary").select(xor_column("a", "b")).collect()
 
 
 def test_blobs(tmp_path):

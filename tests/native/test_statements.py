@@ -1,4 +1,5 @@
 import copy
+import hashlib
 import json
 import os
 import subprocess
@@ -167,7 +168,22 @@ def test_tampering(spark, world):
 
 def test_published_digests():
     good = {"digest": {"sha256": D}, "downloadLocation": "https://huggingface.co/a/b/resolve/main/x.gguf"}
-    P.check_published(good, lambda url: b"version 1\noid sha256:" + D.encode() + b"\nsize 3\n")
+    pointer = b"version https://git-lfs.github.com/spec/v1\noid sha256:" + D.encode() + b"\nsize 3\n"
+    P.check_published(good, lambda url: pointer)
+    P.check_published(good, lambda url: iter([pointer[:20], pointer[20:]]))
+    with pytest.raises(P.VerifyFailed, match="published digest"):
+        # a body that only holds such a line is a body
+        P.check_published(good, lambda url: b"notes\n" + pointer)
+    with pytest.raises(P.VerifyFailed, match="no digest"):
+        P.check_published(good, lambda url: pointer[:45])
+    body = [b"x" * 1000] * 50
+    P.check_published(good | {"digest": {"sha256": hashlib.sha256(b"".join(body)).hexdigest()}}, lambda url: iter(body))
+    for bad in ("?download=true", "#x", "/../y", "%2e", "?"):
+        with pytest.raises(P.VerifyFailed, match="no published place"):
+            P.check_published(good | {"downloadLocation": good["downloadLocation"] + bad}, lambda url: pointer)
+    for place in ("http://huggingface.co/a/b/resolve/main/x", "https://huggingface.co.example/a/b/resolve/main/x", "https://u@huggingface.co/a/b/resolve/main/x", "https://huggingface.co/a/b/blob/main/x", "https://huggingface.co/a/b/resolve/main/"):
+        assert P.published_place(place) is None
+    assert P.published_place("https://huggingface.co/a/b/resolve/r1/dir/x.gguf") == ("a/b", "r1", "dir/x.gguf")
     with pytest.raises(P.VerifyFailed, match="published digest"):
         P.check_published(good, lambda url: b"content")
     with pytest.raises(P.VerifyFailed, match="no published place"):
@@ -180,3 +196,6 @@ def test_published_digests():
         P.check_published(good, offline)
     view = P.identity_view({"files": [{"name": "a"}, {"name": "m.safetensors", "digest": {}}], "uri": "pkg:huggingface/o/m@1", "revision": "r"})
     assert view["downloadLocation"] == "https://huggingface.co/o/m/resolve/r/m.safetensors"
+    for nothing in (None, ""):
+        with pytest.raises(P.InvalidStatement, match="no revision"):
+            P.identity_view({"files": [{"name": "m.safetensors", "digest": {}}], "uri": "pkg:huggingface/o/m@1", "revision": nothing})

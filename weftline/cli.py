@@ -51,6 +51,14 @@ def child_argv(words: list[str], path: str) -> list[str]:
     return [w.replace("{}", path) for w in words] if any("{}" in w for w in words) else [*words, path]
 
 
+def table(rows: list[tuple[str, ...]], heads: tuple[str, ...], right: str) -> str:
+    """Lines of columns as wide as what they hold; right has a > for each column that is set flush right."""
+    lines = [heads, *rows]
+    wide = [max(len(line[i]) for line in lines) for i in range(len(heads))]
+    lines.insert(1, tuple("-" * w for w in wide))
+    return "\n".join("  ".join(f"{cell:{side}{w}}" for cell, side, w in zip(line, right, wide, strict=True)).rstrip() for line in lines)
+
+
 def _run(a: argparse.Namespace, spark: SparkSession) -> int:
     say = lambda *x: print(*x, file=sys.stderr)
     converter = lambda: Converter.locate(a.llama_cpp_dir, a.converter, a.python, getattr(a, "llama_cpp_ref", None))
@@ -58,13 +66,13 @@ def _run(a: argparse.Namespace, spark: SparkSession) -> int:
         if a.keep and not a.prune:
             raise ValueError("--keep needs --prune")
         out = a.o or a.folder.rstrip("/") + ".pack"
-        manifest = packer.pack(spark, a.folder, out, a.llama_quantize)
-        for e in manifest.files:
-            say(f"{e.filename}: {e.plan} {e.note}".rstrip())
+        manifest = packer.pack(spark, a.folder, out, a.llama_quantize, log=say)
         if a.prune:
             for r in prune.prune(spark, a.folder, out, manifest, a.keep).collect():
                 say(f"{r.filename}: {r.action} {r.reason or ''}".rstrip())
     elif a.command in ("unpack", "get", "exec"):
+        if a.command == "exec" and a.child in ([], ["--"]):
+            raise ValueError("exec needs a command, as in: exec PACK NAME -- COMMAND {}")
         if a.command == "unpack":
             manifest = Manifest.load(a.pack)
             entry = manifest.find(spark, a.name)
@@ -81,8 +89,7 @@ def _run(a: argparse.Namespace, spark: SparkSession) -> int:
         return 128 - code if code < 0 else code
     elif a.command == "cache":
         if a.what == "ls":
-            for r in cache.cached(spark).collect():
-                print(r.pack_id[:16], r.filename, r["size"], r.pack_path)
+            print(table([(r.pack_id[:16], r.filename, str(r["size"]), r.pack_path) for r in cache.cached(spark).collect()], ("PACK", "FILE", "SIZE", "FROM"), "<<><"))
         elif a.what == "clear":
             say(f"{cache.clear(spark, a.pack)} packs removed")
         elif a.what == "prune":
@@ -94,21 +101,21 @@ def _run(a: argparse.Namespace, spark: SparkSession) -> int:
         else:
             raise ValueError(f"cache ls, clear or prune, not {a.what}")
     elif a.command == "attest":
-        made = statements.attest(spark, a.quant, a.source, a.imatrix, a.llama_quantize, a.qtype, a.token_embedding_type, a.output_tensor_type, a.llama_cpp_ref, a.deterministic_build, a.source_uri, a.source_download_url)
+        made = statements.attest(spark, a.quant, a.source, a.imatrix, a.llama_quantize, a.qtype, a.token_embedding_type, a.output_tensor_type, a.llama_cpp_ref, a.deterministic_build, a.source_uri, a.source_download_url, say)
         statements.save_statement(made, a.o or a.quant + ".derivation.json")
     elif a.command == "verify-attestation":
-        say(statements.verify(spark, a.statement, a.llama_quantize, a.dir, a.timeout or statements.TIMEOUT, a.check_source) or "verified")
+        say(statements.verify(spark, a.statement, a.llama_quantize, a.dir, a.timeout or statements.TIMEOUT, a.check_source, log=say) or "verified")
     elif a.command == "attest-conversion":
-        made = statements.attest_conversion(spark, a.output, a.source_dir, converter(), a.model_name, True, a.source_uri, a.source_revision, a.timeout or statements.TIMEOUT)
+        made = statements.attest_conversion(spark, a.output, a.source_dir, converter(), a.model_name, True, a.source_uri, a.source_revision, a.timeout or statements.TIMEOUT, say)
         statements.save_statement(made, a.o or a.output + ".conversion.json")
     elif a.command == "verify-conversion":
-        say(statements.verify_conversion(spark, a.statement, converter(), a.dir, a.timeout or statements.TIMEOUT, a.check_source) or "verified")
+        say(statements.verify_conversion(spark, a.statement, converter(), a.dir, a.timeout or statements.TIMEOUT, a.check_source, log=say) or "verified")
     elif a.command == "verify-chain":
-        for note in statements.verify_chain(spark, a.quant_statement, a.conversion_statement, a.llama_quantize, converter(), a.dir, a.timeout or statements.TIMEOUT, a.check_source):
+        for note in statements.verify_chain(spark, a.quant_statement, a.conversion_statement, a.llama_quantize, converter(), a.dir, a.timeout or statements.TIMEOUT, a.check_source, log=say):
             say(note)
     elif a.command == "stats":
-        for r in rebuild.stats(spark, a.pack).collect():
-            print(f"{r.filename or r.plan:40} {r.plan:18} {r.recipe or '':14} {r.size_text:>14} {r.stored_text:>14} {r.ratio:8.2f}x")
+        rows = [(r.filename or r.plan, r.plan, r.recipe or "", r.size_text, r.stored_text, f"{r.ratio:.2f}x") for r in rebuild.stats(spark, a.pack).collect()]
+        print(table(rows, ("FILE", "PLAN", "RECIPE", "SIZE", "STORED", "RATIO"), "<<<>>>"))
     elif a.command == "verify":
         rows = rebuild.verify(spark, a.pack, a.llama_quantize).orderBy("ord").collect()
         for r in rows:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import asdict
 from datetime import UTC, datetime
 
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.scalars import TYPE_CODES
-from weftline.operators.bytes import LEVEL_FILE, LEVEL_PATCH, BlobError, BlobStore, combined, nonzero, region
+from weftline.operators.bytes import LEVEL_FILE, LEVEL_PATCH, BlobError, BlobStore, Delta, patched, tail
 from weftline.operators.transform import Quantizer, ToolError
 from weftline.plans.identity import described, linked_matrices, linked_models
 from weftline.sources.folders import file_digest, scan_folder
@@ -79,12 +79,12 @@ def rebuilt(store: BlobStore, entry: Entry, regen: str) -> Iterator[bytes]:
     layout = parse_layout(regen)
     if layout["parse_error"] is not None:
         raise BlobError(f"{entry.filename}: regenerated file: {layout['parse_error']}")
-    header = store.bytes(entry.header_blob) if entry.header_blob else b"".join(region(regen, 0, layout["data_start"]))
+    header = store.bytes(entry.header_blob) if entry.header_blob else parse_layout(regen, True)["header"]
     if entry.size - len(header) != layout["data_size"]:
         raise BlobError(f"{entry.filename}: payload of {layout['data_size']} bytes, not {entry.size - len(header)}")
     yield header
-    payload = region(regen, layout["data_start"], layout["data_size"])
-    yield from combined(payload, store.open(entry.delta_blob)) if entry.delta_blob else payload
+    start = layout["data_start"]
+    yield from patched(regen, start, store.open(entry.delta_blob)) if entry.delta_blob else tail(regen, start)
 
 
 def digest_of(chunks: Iterator[bytes]) -> str:
@@ -110,17 +110,12 @@ def near_plan(store: BlobStore, path: str, regen: str, recipe: dict) -> Entry |
     if recipe["use_imatrix"] or (not same and mine["header"] != theirs["header"]):
         entry.header_blob = store.put([mine["header"]])
     if not same:
-        differing = 0
-
-        def delta() -> Iterator[bytes]:
-            nonlocal differing
-            for data in combined(region(path, mine["data_start"], mine["data_size"]), region(regen, theirs["data_start"], theirs["data_size"])):
-                differing += nonzero(data)
-                yield data
-
-        blob = store.put(delta())
-        if differing:
+        delta = Delta((path, mine["data_start"]), (regen, theirs["data_start"]))
+        blob = store.put(delta)
+        if delta.differing:
             entry.plan, entry.delta_blob = "near", blob
+            share = delta.differing / max(1, mine["data_size"])
+            entry.note = f"{share:.3%} of the payload's bytes differ"
             if store.size(blob) > CEILING * entry.size:
                 return None
     if (entry.header_blob or not same) and digest_of(rebuilt(store, entry, regen)) != entry.sha256:
@@ -129,40 +124,47 @@ def near_plan(store: BlobStore, path: str, regen: str, recipe: dict) -> Entry |
 
 
 def planned(work: DataFrame, store: BlobStore, tool: Quantizer | None) -> DataFrame:
-    """The entries of derived files (path, name, candidates, note, source_path, source, imatrix_path, imatrix), one task a file."""
+    """The entries of files (ord, role, path, candidates, note, source_path, source, imatrix_path, imatrix), one task a file, and the seconds that tools ran for each.
+
+    A derived file is tried; a source or matrix is stored whole.
+    """
 
-    def one(r) -> Entry:
+    def one(r) -> tuple[Entry, float]:
+        if r.role != "quant":
+            return whole(store, r.path, r.role, level=LEVEL_PATCH if r.role == "imatrix" else LEVEL_FILE), 0.0
         if r.note or tool is None or not r.source_path:
-            return whole(store, r.path, "quant", r.note or "no source or no tool to derive with")
+            return whole(store, r.path, "quant", r.note or "no source or no tool to derive with"), 0.0
         if not len(r.candidates):
-            return whole(store, r.path, "quant", "neither name nor tensor types suggest a recipe")
+            return whole(store, r.path, "quant", "neither name nor tensor types suggest a recipe"), 0.0
         with tempfile.TemporaryDirectory() as folder:
             regen = os.path.join(folder, "regen.gguf")
-            for recipe, _ in matched_recipe(tool, r.source_path, regen, list(r.candidates), type_map(parse_layout(r.path)), r.imatrix_path or None):
+            for recipe, seconds in matched_recipe(tool, r.source_path, regen, list(r.candidates), type_map(parse_layout(r.path)), r.imatrix_path or None):
                 entry = near_plan(store, r.path, regen, recipe)
-                return entry or whole(store, r.path, "quant", f"recipe {recipe['qtype']} gives the types but not the layout, or too large a delta")
-        return whole(store, r.path, "quant", f"no candidate matched: {', '.join(r.candidates)}")
+                return entry or whole(store, r.path, "quant", f"recipe {recipe['qtype']} gives the types but not the layout, or too large a delta"), seconds
+        return whole(store, r.path, "quant", f"no candidate matched: {', '.join(r.candidates)}"), 0.0
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for r in frame.itertuples():
-                e = one(r)
+                e, seconds = one(r)
                 e.source = (r.source or None) if r.source_path else None
                 e.imatrix = (r.imatrix or None) if e.recipe and e.recipe["use_imatrix"] else None
-                out.append(asdict(e) | {"ord": int(r.ord)})
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in columns])
+                out.append(asdict(e) | {"ord": int(r.ord), "seconds": seconds})
+            yield pd.DataFrame(out, columns=columns)
 
-    columns = ["ord", "filename", "size", "sha256", "role", "plan", "recipe", "header_blob", "delta_blob", "blob", "data_start", "note", "source", "imatrix"]
+    schema = f"{ENTRIES}, seconds double"
+    columns = ["ord", "filename", "size", "sha256", "role", "plan", "recipe", "header_blob", "delta_blob", "blob", "data_start", "note", "source", "imatrix", "seconds"]
     reachable(work.sparkSession)
-    return work.repartition(max(1, work.count()), "path").mapInPandas(run, ENTRIES)
+    return work.repartition(max(1, work.count()), "path").mapInPandas(run, schema)
 
 
-def pack(spark: SparkSession, folder: str, out: str, tool: Quantizer | str | None = None) -> Manifest:
-    """Packs a folder; blobs are written by tasks, the manifest last, by the driver.
+def pack(spark: SparkSession, folder: str, out: str, tool: Quantizer | str | None = None, log: Callable[[str], None] = lambda line: None) -> Manifest:
+    """Packs a folder; blobs, of sources too, are written by tasks, the manifest last, by the driver.
 
     A task that is run again writes the same blobs, so retries are harmless; a
-    blob that no entry refers to in the end is removed.
+    blob that no entry refers to in the end is removed.  log is told of each
+    file as it is entered: its plan, note and the seconds of its tools.
     """
     if not os.path.isdir(folder):
         raise PackError(f"not a folder: {folder}")
@@ -175,7 +177,8 @@ def pack(spark: SparkSession, folder: str, out: str, tool: Quantizer | str | Non
     if not isinstance(tool, Quantizer):
         try:
             tool = Quantizer.locate(tool)
-        except ToolError:
+        except ToolError as e:
+            log(f"no tool, so all files are stored whole: {e}")
             tool = None
     os.makedirs(out, exist_ok=True)
     store = BlobStore(out)
@@ -191,19 +194,24 @@ def pack(spark: SparkSession, folder: str, out: str, tool: Quantizer | str | Non
     by_path = {r.path: r for r in layouts.select("path", "candidates").collect()}
     for r in models.where("role = 'quant'").orderBy("name").collect():
         matrix = chosen.get(r.source, "") if r.source else ""
-        work.append((len(work), r.path, r.name, list(by_path[r.path].candidates), r.note or "", at[r.source] if r.source else "", r.source or "", at.get(matrix, ""), matrix))
-    schema = "ord int, path string, name string, candidates array<string>, note string, source_path string, source string, imatrix_path string, imatrix string"
-    rows = planned(spark.createDataFrame(work, schema), store, tool).orderBy("ord").collect() if work else []
-    entries = [Entry(**{k: (v.asDict() if k == "recipe" and v is not None else v) for k, v in r.asDict().items() if k != "ord"}) for r in rows]
-    stored: set[str] = set()
+        work.append((len(work), "quant", r.path, list(by_path[r.path].candidates), r.note or "", at[r.source] if r.source else "", r.source or "", at.get(matrix, ""), matrix))
+    for role, path in [*(("source", at[s]) for s in sources), *(("imatrix", p) for p in names["imatrix"])]:
+        work.append((len(work), role, path, [], "", "", "", "", ""))
+    schema = "ord int, role string, path string, candidates array<string>, note string, source_path string, source string, imatrix_path string, imatrix string"
+    rows = planned(spark.createDataFrame(work, schema), store, tool).orderBy("ord").collect()
+    entries = [Entry(**{k: (v.asDict() if k == "recipe" and v is not None else v) for k, v in r.asDict().items() if k not in ("ord", "seconds")}) for r in rows]
+    took = {r.filename: r.seconds for r in rows}
+    those = {e.filename: e for e in entries if e.role != "quant"}
+    quants = [e for e in entries if e.role == "quant"]
     for s in sources:
-        manifest.files.append(whole(store, at[s], "source"))
-        if (m := chosen.get(s)) and m not in stored:
-            stored.add(m)
-            manifest.files.append(whole(store, at[m], "imatrix", level=LEVEL_PATCH))
-        manifest.files += [e for e in entries if e.source == s]
-    manifest.files += [e for e in entries if not e.source]
-    manifest.files += [whole(store, p, "imatrix", level=LEVEL_PATCH) for p in names["imatrix"] if os.path.basename(p) not in stored]
+        manifest.files.append(those.pop(s))
+        if chosen.get(s) in those:
+            manifest.files.append(those.pop(chosen[s]))
+        manifest.files += [e for e in quants if e.source == s]
+    manifest.files += [e for e in quants if not e.source]
+    manifest.files += [those[os.path.basename(p)] for p in names["imatrix"] if os.path.basename(p) in those]
+    for e in manifest.files:
+        log(f"{e.filename}: {e.plan} {e.note}".rstrip() + (f" ({took[e.filename]:.1f} s)" if took[e.filename] else ""))
     layouts.unpersist()
     models.unpersist()
     store.drop_unreferenced({b for e in manifest.files for b in e.blobs()})

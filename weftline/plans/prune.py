@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.plans.rebuild import blob_status, digest_of_entry
+from weftline.plans.rebuild import RebuildError, blob_status, inputs, whole_blobs_hold
 from weftline.sources.folders import digests, scan_folder
 from weftline.sources.manifest import Manifest, ManifestError, snapshot_diff
 
@@ -48,22 +48,20 @@ def prune(spark: SparkSession, originals: str, folder: str, manifest: Manifest,
             raise PruneRefused(f"{name}: changed since it was packed")
         if entry.plan == "blob":
             needed[name] = entry
-        elif entry.plan not in ("exact", "near") or not entry.recipe:
-            raise PruneRefused(f"{name}: plan {entry.plan!r} can't be carried out")
         else:
-            for role in ["source"] + ["imatrix"] * bool(entry.recipe["use_imatrix"]):
-                of = manifest.of(entry, role)
-                if of is None or of.plan != "blob" or not of.blob:
-                    raise PruneRefused(f"{name}: its {role} isn't stored in the pack")
-                needed[of.filename] = of
+            try:
+                needed |= {of.filename: of for of in inputs(manifest, entry).values()}
+            except RebuildError as e:
+                raise PruneRefused(str(e)) from e
         for blob in entry.blobs():
             if blob in bad:
                 raise PruneRefused(f"{name}: blob {blob[:16]} is {bad[blob]}")
     for name, entry in sorted(needed.items()):
         if entry.blob in bad:
             raise PruneRefused(f"{name}: blob {entry.blob[:16]} is {bad[entry.blob]}")
-        if digest_of_entry(folder, entry) != entry.sha256:
-            raise PruneRefused(f"{name}: its blob doesn't hold it")
+    lost = sorted(set(needed) - whole_blobs_hold(spark, folder, sorted(needed)))
+    if lost:
+        raise PruneRefused(f"{lost[0]}: its blob doesn't hold it")
     for name, r in doomed.items():
         now = os.stat(r.path)
         if (now.st_size, now.st_mtime_ns) != (r.now, r.mtime_ns):

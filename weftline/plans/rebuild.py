@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -29,24 +30,36 @@ def tool_of(manifest: Manifest, explicit: Quantizer | str | None) -> tuple[Quant
     return tool, f"the tool's build {tool.sha256[:16]} isn't the one that packed, {wanted[:16]}" if wanted and wanted != tool.sha256 else ""
 
 
-def rebuild(folder: str, manifest: Manifest, entry: Entry, out: str, tool: Quantizer | str | None = None) -> str:
-    """Writes an entry's file if its digest is right, else raises and leaves nothing; returns a note on the tool."""
+def inputs(manifest: Manifest, entry: Entry) -> dict[str, Entry]:
+    """The stored files that an entry's recipe takes, by role; a missing one is refused."""
+    if entry.plan not in ("exact", "near") or not entry.recipe:
+        raise RebuildError(f"{entry.filename}: plan {entry.plan!r} can't be carried out")
+    out = {}
+    for role in ["source"] + ["imatrix"] * bool(entry.recipe["use_imatrix"]):
+        of = manifest.of(entry, role)
+        if of is None or of.plan != "blob" or not of.blob:
+            raise RebuildError(f"{entry.filename}: the pack has no {role} {getattr(entry, role) or ''}".rstrip())
+        out[role] = of
+    return out
+
+
+def rebuild(folder: str, manifest: Manifest, entry: Entry, out: str, tool: Quantizer | str | None = None, ready: dict[str, str] | None = None) -> str:
+    """Writes an entry's file if its digest is right, else raises and leaves nothing; returns a note on the tool.
+
+    ready has the paths of stored files that are there and checked already, by name.
+    """
     store = BlobStore(folder)
     os.makedirs(os.path.dirname(os.path.abspath(out)), exist_ok=True)
     try:
         if entry.plan == "blob":
             emit(out, store.open(entry.blob), entry.sha256)
             return ""
-        if entry.plan not in ("exact", "near") or not entry.recipe:
-            raise RebuildError(f"{entry.filename}: plan {entry.plan!r} can't be carried out")
         with tempfile.TemporaryDirectory() as scratch:
             given = {}
-            for role in ["source"] + ["imatrix"] * bool(entry.recipe["use_imatrix"]):
-                of = manifest.of(entry, role)
-                if of is None or not of.blob:
-                    raise RebuildError(f"{entry.filename}: the pack has no {role} {getattr(entry, role) or ''}".rstrip())
-                given[role] = os.path.join(scratch, of.filename)
-                emit(given[role], store.open(of.blob), of.sha256)
+            for role, of in inputs(manifest, entry).items():
+                given[role] = (ready or {}).get(of.filename) or os.path.join(scratch, of.filename)
+                if not ready or of.filename not in ready:
+                    emit(given[role], store.open(of.blob), of.sha256)
             tool, note = tool_of(manifest, tool)
             regen = os.path.join(scratch, "regen.gguf")
             run = derive(tool, given["source"], regen, entry.recipe, given.get("imatrix"))
@@ -58,25 +71,70 @@ def rebuild(folder: str, manifest: Manifest, entry: Entry, out: str, tool: Quant
         raise RebuildError(f"{entry.filename}: {e}") from e
 
 
-def verify(spark: SparkSession, folder: str, tool: Quantizer | str | None = None) -> DataFrame:
-    """(ord, filename, status) of every entry, each rebuilt in a task of its own; status is OK or FAIL: and the reason."""
-    manifest = Manifest.load(folder)
+def _each(spark: SparkSession, manifest: Manifest, ords: list[int], work: Callable[[Entry], str]) -> dict[int, str]:
+    """What work says of each entry, in a task of its own."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
-            for i in frame["ord"]:
-                entry = manifest.files[i]
-                with tempfile.TemporaryDirectory() as scratch:
-                    try:
-                        rebuild(folder, manifest, entry, os.path.join(scratch, "out"), tool)
-                        out.append((i, entry.filename, "OK"))
-                    except RebuildError as e:
-                        out.append((i, entry.filename, f"FAIL: {e}"))
-            yield pd.DataFrame(out, columns=["ord", "filename", "status"])
+            yield frame.assign(said=[work(manifest.files[i]) for i in frame["ord"]])
+
+    if not ords:
+        return {}
+    frame = reachable(spark).createDataFrame([(i,) for i in ords], "ord int").repartition(len(ords), "ord")
+    return {r.ord: r.said for r in frame.mapInPandas(run, "ord int, said string").collect()}
+
 
-    frame = reachable(spark).createDataFrame([(i,) for i in range(len(manifest.files))], "ord int")
-    return frame.repartition(max(1, len(manifest.files)), "ord").mapInPandas(run, "ord int, filename string, status string")
+def verify(spark: SparkSession, folder: str, tool: Quantizer | str | None = None, scratch: str | None = None, log: Callable[[str], None] = lambda line: None) -> DataFrame:
+    """(ord, filename, status) of every entry, each rebuilt in a task of its own; status is OK or FAIL: and the reason.
+
+    Stored files that recipes take are written once, each by one task, into a
+    folder that all tasks share (scratch, else beside the pack), whose digests
+    that checks as well; it is removed in the end.
+    """
+    manifest = Manifest.load(folder)
+    shared: dict[str, str] = {}
+    where = tempfile.mkdtemp(prefix=".verify-", dir=scratch or os.path.dirname(os.path.abspath(folder)))
+
+    def write(entry: Entry) -> str:
+        try:
+            emit(os.path.join(where, entry.sha256), BlobStore(folder).open(entry.blob), entry.sha256)
+            return "OK"
+        except (ValueError, OSError) as e:
+            return f"FAIL: {entry.filename}: {e}"
+
+    def check(entry: Entry) -> str:
+        with tempfile.TemporaryDirectory() as own:
+            try:
+                rebuild(folder, manifest, entry, os.path.join(own, "out"), tool, shared)
+                return "OK"
+            except RebuildError as e:
+                return f"FAIL: {e}"
+
+    try:
+        place = {e.filename: i for i, e in enumerate(manifest.files)}
+        taken: set[int] = set()
+        for e in manifest.files:
+            try:
+                taken |= {place[of.filename] for of in inputs(manifest, e).values()}
+            except RebuildError:
+                pass
+        said = _each(spark, manifest, sorted(taken), write)
+        shared |= {manifest.files[i].filename: os.path.join(where, manifest.files[i].sha256) for i, s in said.items() if s == "OK"}
+        rest = [i for i in range(len(manifest.files)) if i not in taken]
+        said |= _each(spark, manifest, rest, check)
+    finally:
+        shutil.rmtree(where, ignore_errors=True)
+    for i in sorted(said):
+        log(f"{manifest.files[i].filename}: {said[i]}")
+    return spark.createDataFrame([(i, manifest.files[i].filename, said[i]) for i in sorted(said)], "ord int, filename string, status string")
+
+
+def whole_blobs_hold(spark: SparkSession, folder: str, names: list[str]) -> set[str]:
+    """Those of the entries that are stored whole whose blobs give the bytes of their digests; a task reads each."""
+    manifest = Manifest.load(folder)
+    ords = [i for i, e in enumerate(manifest.files) if e.filename in set(names)]
+    said = _each(spark, manifest, ords, lambda e: "OK" if digest_of(BlobStore(folder).open(e.blob)) == e.sha256 else "")
+    return {manifest.files[i].filename for i, s in said.items() if s == "OK"}
 
 
 def blob_status(spark: SparkSession, folder: str) -> DataFrame:
@@ -132,8 +190,3 @@ def stats(spark: SparkSession, folder: str) -> DataFrame:
 
 def plan_counts(spark: SparkSession, folder: str) -> DataFrame:
     return Manifest.load(folder).frame(spark).groupBy("plan").count().orderBy("plan")
-
-
-def digest_of_entry(folder: str, entry: Entry) -> str:
-    """Digest of what a whole-file blob holds."""
-    return digest_of(BlobStore(folder).open(entry.blob))

@@ -88,12 +88,13 @@ def read_header(data: bytes, file_size: int) -> dict:
         if kind == 8:
             size = r.number("<Q")
             strings[key] = {"off": r.skip(size), "len": size}
-        elif key == "general.alignment" and kind == 4:
-            alignment = r.number("<I")
+        elif key == "general.alignment" and kind in SCALARS:
+            alignment = r.number(SCALARS[kind])
         else:
             r.pass_value(kind)
-    if alignment <= 0 or alignment & (alignment - 1) or alignment >= 1 << 31:
+    if alignment != alignment or alignment <= 0 or alignment >= 1 << 31 or alignment != int(alignment) or int(alignment) & (int(alignment) - 1):
         raise LayoutError(f"alignment {alignment}")
+    alignment = int(alignment)
     tensors = []
     for pos in range(n_tensors):
         name, n_dims = r.text()[0], r.number("<I")
