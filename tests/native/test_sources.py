@@ -206,8 +206,9 @@ def test_winners_and_steps(spark):
 
 def test_running_sum_with_ties_and_nulls(spark):
     rows = [(i, i // 3 if i % 10 else None, i) for i in range(500)]
-    got = {r.id: r.before for r in R.running_sum(spark.createDataFrame(rows, "id long, at long, v long"), "at", "id", F.col("v"), "before", ranges=7).collect()}
-    total = 0
-    for i, _, v in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0])):
-        assert got[i] == total
-        total += v
+    for per in (70, 1000):
+        got = {r.id: r.before for r in R.running_sum(spark.createDataFrame(rows, "id long, at long, v long"), ["at", "id"], F.col("v"), "before", rows_per_range=per).collect()}
+        total = 0
+        for i, _, v in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0])):
+            assert got[i] == total
+            total += v

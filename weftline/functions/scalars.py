@@ -97,7 +97,7 @@ def human_size(n: Column) -> Column:
 
 
 def parse_size(text: Column) -> Column:
-    """Bytes of '10', '1.5G', '2 MiB'-like sizes (K, M, G, T, with or without B, any case), null if malformed."""
+    """Bytes of '10', '1.5G', '2 mb'-like sizes (K, M, G, T, with or without B, any case), null if malformed."""
     form = r"(?i)^\s*([0-9]+(?:\.[0-9]+)?)\s*([KMGT]?)B?\s*$"
     unit = F.upper(F.regexp_extract(text, form, 2))
     scale = F.element_at(literal_map({"": 1, "K": 1 << 10, "M": 1 << 20, "G": 1 << 30, "T": 1 << 40}), unit)
@@ -134,3 +134,11 @@ def is_digest(text: Column) -> Column:
 def reasons(*rules: tuple[Column, str]) -> Column:
     """The texts of the rules that hold, in order."""
     return F.array_compact(F.array(*[F.when(rule, F.lit(text)) for rule, text in rules]))
+
+
+def first_label(rules: list[tuple[Column, str]], otherwise: str) -> Column:
+    """The label of the first rule that holds."""
+    out = F
+    for rule, label in rules:
+        out = out.when(rule, F.lit(label))
+    return out.otherwise(F.lit(otherwise))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.scalars import common_prefix_length, prefix_related
+from weftline.workers import shared_folder
 
 
 def with_identity(df: DataFrame, keys: list[str], *parts: Column) -> DataFrame:
@@ -79,21 +81,31 @@ def first_matching_step(df: DataFrame, steps: list[Column], name: str = "step")
     return rows.where(F.col(name) == F.lit(least))
 
 
-def running_sum(df: DataFrame, order: str, tie: str, value: Column, name: str, ranges: int = 64) -> DataFrame:
-    """df with the sum of value over all rows before, by order and tie: sums of ranges first, then within each range.
+#: Rows that one range of a running sum holds, about.
+ROWS_PER_RANGE = 100_000
 
-    Range bounds are quantiles of the numeric column `order`, so no task sorts
-    the whole table; rows with one value of it share a range.
+
+def running_sum(df: DataFrame, order: list[str], value: Column, name: str, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """df with the sum of value over all rows before, by the columns of order, nulls first.
+
+    Beyond one range, rows are dealt to ranges of all order columns together, as
+    many as the rows need, and written with the number of their range; the sums
+    of ranges come first, then the sums within each.  So no task sorts the whole
+    table, and a value that many rows share spreads over several ranges by the
+    columns after it.
     """
-    number = F.col(order).cast("timestamp") if df.schema[order].dataType.typeName().startswith("timestamp") else F.col(order)
-    number = number.cast("double")
-    at = df.select(number.alias("x")).where("x is not null")
-    bounds = sorted(set(at.approxQuantile("x", [i / ranges for i in range(1, ranges)], 0.002)))
-    place = sum(((number > F.lit(float(b))).cast("int") for b in bounds), F.when(number.isNotNull(), F.lit(0)))
-    rows = df.withColumn("__v", value).withColumn("__r", F.coalesce(place, F.lit(-1)))
+    ranges = max(1, -(-df.count() // rows_per_range))
+    place = [F.col(c).asc_nulls_first() for c in order]
+    rows = df.withColumn("__v", value)
+    if ranges == 1:
+        before = F.sum("__v").over(Window.orderBy(*place).rowsBetween(Window.unboundedPreceding, -1))
+        return rows.withColumn(name, F.coalesce(before, F.lit(0))).drop("__v")
+    path = f"{shared_folder(df.sparkSession)}/ranges-{uuid.uuid4().hex}"
+    rows.repartitionByRange(ranges, *place).withColumn("__r", F.spark_partition_id()).write.parquet(path)
+    rows = df.sparkSession.read.parquet(path)
     sums = rows.groupBy("__r").agg(F.sum("__v").alias("__s"))
-    starts = sums.withColumn("__start", F.coalesce(F.sum("__s").over(Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__s")
-    within = Window.partitionBy("__r").orderBy(order, tie).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("__r", F.coalesce(F.sum("__s").over(Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
+    within = Window.partitionBy("__r").orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
     out = rows.join(F.broadcast(starts), "__r").withColumn(name, F.col("__start") + F.coalesce(F.sum("__v").over(within), F.lit(0)))
     return out.drop("__r", "__v", "__start")
 
@@ -101,7 +113,7 @@ def running_sum(df: DataFrame, order: str, tie: str, value: Column, name: str, r
 def evict_oldest(df: DataFrame, order: str, tie: str, size: str, cap: Callable[[Column], Column], protected: Column) -> DataFrame:
     """Rows to drop, oldest first, until the sizes left are at most the cap (of the total); protected rows count but stay."""
     total = df.agg(F.sum(size)).first()[0] or 0
-    rows = running_sum(df.withColumn("__keep", protected), order, tie, F.when(protected, F.lit(0)).otherwise(F.col(size)), "__before")
+    rows = running_sum(df.withColumn("__keep", protected), [order, tie], F.when(protected, F.lit(0)).otherwise(F.col(size)), "__before")
     return rows.where(~F.col("__keep") & (F.lit(total) - F.col("__before") > cap(F.lit(total)))).drop("__keep", "__before")
 
 

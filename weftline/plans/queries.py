@@ -2,34 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import scalars as S
 from weftline.operators import relational as R
-from weftline.workers import reachable
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str, *tables: str) -> Callable[[Callable[..., DataFrame]], Query]:
-    """Registers a function of tables as a query of its own name."""
-
-    def register(function: Callable[..., DataFrame]) -> Query:
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            reachable(spark)
-            return function(*[spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables])
-
-        QUERIES[function.__name__] = run
-        ORACLE_SQL[function.__name__] = sql
-        return run
-
-    return register
-
+from weftline.plans import pack_queries  # noqa: F401  registers its queries
+from weftline.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
+from weftline.plans.statements import verdict_rules
 
 digest = lambda c: F.sha2(F.col(c), 256)
 long = lambda c: F.col(c).cast("long")
@@ -38,7 +17,7 @@ long = lambda c: F.col(c).cast("long")
 @query("select klass, count(*) n from (select case when lower(url) like '%.net/%' then 'net' when lower(url) like '%//m.%' then 'mobile' else 'skipped' end klass from pages) group by klass", "pages")
 def scan_classify(pages):
     url = F.lower("url")
-    klass = F.when(url.contains(".net/"), "net").when(url.contains("//m."), "mobile").otherwise("skipped")
+    klass = S.first_label([(url.contains(".net/"), "net"), (url.contains("//m."), "mobile")], "skipped")
     return pages.groupBy(klass.alias("klass")).agg(F.count("*").alias("n"))
 
 
@@ -63,11 +42,11 @@ def content_addressed_upsert(documents):
     "documents",
 )
 def first_occurrence_cost(documents):
-    rows = documents.select("source", "doc_id", "n_chars", digest("text").alias("blob"))
-    first = R.first_by(rows, ["blob"], [F.col("source"), F.col("doc_id")], ["source", "n_chars"])
-    stored = first.groupBy("source").agg(F.sum("n_chars").alias("stored"))
-    whole = rows.groupBy("source").agg(F.sum("n_chars").alias("orig"))
-    return whole.join(stored, "source", "left").select("source", "orig", F.coalesce("stored", F.lit(0)).alias("stored"))
+    # one pass: a blob's sums by source, the first source of each blob by its first document there
+    own = documents.groupBy(digest("text").alias("blob"), "source").agg(F.sum("n_chars").alias("orig"), F.min(F.struct("doc_id", "n_chars")).alias("first"))
+    each = own.groupBy("blob").agg(F.min(F.struct("source", "first")).alias("top"), F.collect_list(F.struct("source", "orig")).alias("sums"))
+    rows = each.select("top", F.explode("sums").alias("s")).select("s.source", "s.orig", F.when(F.col("s.source") == F.col("top.source"), F.col("top.first.n_chars")).otherwise(0).alias("stored"))
+    return rows.groupBy("source").agg(F.sum("orig").alias("orig"), F.sum("stored").alias("stored"))
 
 
 @query(
@@ -242,7 +221,7 @@ def snapshot_witness(documents):
     "lineitem",
 )
 def build_identity_verdict(lineitem):
-    verdict = F.when(F.col("l_returnflag") == "A", "ok").when(F.col("l_linestatus") == "O", "tamper-evident").when(F.col("l_discount") > 0.05, "inconclusive-deterministic").otherwise("inconclusive")
+    verdict = S.first_label(*verdict_rules(F.col("l_returnflag") == "A", F.col("l_linestatus") == "O", F.col("l_discount") > 0.05))
     return lineitem.groupBy(verdict.alias("verdict")).agg(F.count("*").alias("n"))
 
 
@@ -397,7 +376,7 @@ def set_difference(events):
 )
 def bag_union_ord(supplier, region):
     rows = supplier.select(F.lit(0).cast("long").alias("kind"), F.col("s_suppkey").alias("id")).unionByName(region.select(F.lit(1).cast("long").alias("kind"), long("r_regionkey").alias("id")))
-    return R.running_sum(rows.withColumn("at", F.col("kind") * 1e15 + F.col("id")), "at", "id", F.lit(1), "before").select("kind", "id", (F.col("before") + 1).cast("long").alias("ord"))
+    return R.running_sum(rows, ["kind", "id"], F.lit(1), "before").select("kind", "id", (F.col("before") + 1).cast("long").alias("ord"))
 
 
 @query(
@@ -437,14 +416,15 @@ def json_field(events):
 @query("select doc_id, cast(strlen(text) as bigint) n_bytes, true restored, cast(0 as bigint) differing from documents where text is not null", "documents")
 def xor_delta_roundtrip(documents):
     """Each text against a pad of its own length, made of its digest: delta, then text again, byte for byte."""
-    from weftline.operators.bytes import nonzero_column, xor_column
+    from weftline.operators.bytes import delta_roundtrip
 
     n = F.octet_length("text")
     pad = F.left(F.repeat(digest("text"), F.ceil(n / 64.0).cast("int")), n).cast("binary")
     rows = documents.where("text is not null").select("doc_id", F.col("text").cast("binary").alias("bytes"), pad.alias("pad"))
-    rows = rows.withColumn("delta", xor_column("bytes", "pad")).withColumn("again", xor_column("delta", "pad"))
-    same = nonzero_column(xor_column("again", "bytes"))
-    return rows.select("doc_id", F.octet_length("bytes").cast("long").alias("n_bytes"), (F.col("again") == F.col("bytes")).alias("restored"), same.alias("differing"))
+    rows = delta_roundtrip(rows, "bytes", "pad")
+    # the delta's bytes that aren't 0 are those in which text and pad differ: none where they are the same text
+    wrong = (F.col("differing") > F.octet_length("bytes")) | ((F.col("differing") == 0) & (F.col("bytes") != F.col("pad")))
+    return rows.select("doc_id", F.octet_length("bytes").cast("long").alias("n_bytes"), "restored", wrong.cast("long").alias("differing"))
 
 
 @query("select doc_id, sha256(text) digest, true ok from documents where text is not null", "documents")

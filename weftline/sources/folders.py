@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.functions.scalars import first_label
 from weftline.workers import reachable
 
 CHUNK = 8 << 20
@@ -32,7 +33,7 @@ def scan_folder(spark: SparkSession, folder: str) -> DataFrame:
     rows = [(e.path, e.name, e.stat().st_size, e.stat().st_mtime_ns) for e in os.scandir(folder) if e.is_file() and not e.name.startswith(".")]
     files = spark.createDataFrame(rows, "path string, name string, size long, mtime_ns long")
     lower = F.lower("name")
-    return files.withColumn("klass", F.when(lower.endswith(".gguf"), "gguf").when(lower.contains("imatrix"), "imatrix").otherwise("skipped"))
+    return files.withColumn("klass", first_label([(lower.endswith(".gguf"), "gguf"), (lower.contains("imatrix"), "imatrix")], "skipped"))
 
 
 def digests(files: DataFrame, path: str = "path") -> DataFrame:

@@ -1,7 +1,8 @@
-"""Lets Python workers import this package when it isn't installed: its folder joins their path."""
+"""What workers need: this package on their path when it isn't installed, and a folder that all of them share."""
 
 from __future__ import annotations
 
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -14,3 +15,19 @@ def reachable(spark: SparkSession) -> SparkSession:
     if ROOT not in known.split(":"):
         spark.sparkContext.environment["PYTHONPATH"] = f"{ROOT}:{known}" if known else ROOT
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir.
+
+    Where that is unset, a temporary one if driver and workers are one machine
+    (master local), else an error, as executors wouldn't see one another's files.
+    """
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = getattr(shared_folder, "own", None) or tempfile.mkdtemp(prefix="weftline-")
+        shared_folder.own = folder
+    return folder.rstrip("/")
