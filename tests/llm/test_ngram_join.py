@@ -1,6 +1,7 @@
 import random
 import re
 
+from weftline.llm import ngram_join
 from weftline.llm.ngram_join import drop_near_duplicates, ngram_jaccard_components
 
 SCHEMA = "doc_id long, text string, key string, n long, part int"
@@ -94,3 +95,27 @@ def test_one_row_of_each_group_stays(spark):
     want = [*sorted(stay), None, 700, 700, 701, 701]
     assert sorted(map(str, (r.doc_id for r in got))) == sorted(map(str, want)) and got[0].part == 2
     assert drop_near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_shingles_that_many_sets_hold(spark, monkeypatch):
+    # a passage in every row, near copies among them, in fragments so small that the passage would fill a few of them
+    rng = random.Random(10)
+    words, passage = [f"w{i}" for i in range(2000)], " ".join(f"p{i}" for i in range(12))
+    rows = []
+    for i in range(700):
+        text = [rng.choice(words) for _ in range(40)]
+        rows.append((len(rows), f"{' '.join(text)} {passage}"))
+        if i % 10 == 0:
+            text[rng.randrange(40)] = "other"
+            rows.append((len(rows), f"{' '.join(text)} {passage}"))
+    rows += [(len(rows), passage), (len(rows) + 1, passage + " more"), (len(rows) + 2, passage)]
+    want = brute(rows)
+    assert run(spark, rows) == want
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    loads = {}
+    for r in ngram_join._postings(frame, 5, 64).collect():
+        loads[r.part] = loads.get(r.part, 0) + len(r.blob)
+    assert len(loads) == 64 and max(loads.values()) <= 2 * sorted(loads.values())[32]
+    monkeypatch.setattr(ngram_join, "POSTINGS_PER_FRAGMENT", 500)
+    monkeypatch.setattr(ngram_join, "COMMON_SETS", 3)
+    assert run(spark, rows) == want

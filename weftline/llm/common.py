@@ -3,32 +3,21 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.workers import reachable
+from weftline.workers import reachable, shared_folder
 
 #: A word, as the contracts of the operators give it.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; one of our own only where that is unset."""
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = getattr(shared_folder, "own", None) or tempfile.mkdtemp(prefix="weftline-")
-        shared_folder.own = folder
-    return folder.rstrip("/")
-
-
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: later reads survive lost executors."""
     spark = reachable(df.sparkSession)
@@ -47,6 +36,16 @@ def with_columns(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+#: Rows of one key that a sample takes at most: a row that is repeated more often teaches no more.
+ROWS_PER_KEY = 8
+
+
+def few_of_a_key(rows: DataFrame, key: str = "doc_id", order: str = "text") -> DataFrame:
+    """rows, of each key the first ROWS_PER_KEY only, by order; each task sends no more than that."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(order))
+    return rows.withColumn("__place", place).where(F.col("__place") <= ROWS_PER_KEY).drop("__place")
+
+
 def label_sample(rows: DataFrame, label: str, per_label: int, key: str = "doc_id") -> DataFrame:
     """About per_label rows of each label value, those of least hash: a bounded sample, alike on each run.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, label_sample, stage, with_columns
+from .common import few_of_a_key, held_out, label_sample, stage, with_columns
 
 #: Rows of each label value, about, and the longest text among them in bytes.
 SAMPLE_ROWS, SAMPLE_BYTES = 2500, 1 << 15
@@ -21,7 +21,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: i
     marks = stage(usable.select("doc_id").join(marks, "doc_id"), "labelled")
     counts = {r.label: r["count"] for r in marks.groupBy("label").count().collect()}
     chosen = label_sample(marks, "label", per_label).distinct()
-    rows = usable.join(F.broadcast(chosen), "doc_id")
+    rows = few_of_a_key(usable.join(F.broadcast(chosen), "doc_id"))
     return [(r.text, r.label) for r in sorted(rows.collect(), key=lambda r: (r.doc_id, r.text))], counts
 
 
@@ -30,7 +30,7 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, per_label: in
 
     Rows with a null id, label or text teach nothing, nor do texts above
     SAMPLE_BYTES or labels of absent rows, and none of them count; several labels
-    of one id count as the greatest.  The sample is by hash of doc_id, so it is
-    bounded before a text is collected.
+    of one id count as the greatest.  The sample is by hash of doc_id, with ROWS_PER_KEY
+    rows of an id at most, so it is bounded before a text is collected.
     """
     return labelled_sample(docs, labels, label, per_label)[0]

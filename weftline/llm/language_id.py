@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, keep_rows, label_sample, map_batches, with_columns
+from .common import few_of_a_key, held_out, keep_rows, label_sample, map_batches, with_columns
 from .shingles import _LOWER, text_bytes
 
 UNKNOWN = "und"
@@ -164,11 +164,12 @@ def build_model(texts: dict[str, list[str]]) -> LanguageModel:
 def fit_language_id(docs: DataFrame, per_language: int = SAMPLE_ROWS) -> LanguageModel:
     """The model of docs (doc_id, text, lang, ...), from about per_language rows of each language.
 
-    Rows with a null lang or text, or a text above SAMPLE_BYTES, teach nothing;
-    and don't count; the sample is by hash of doc_id, so bounded and alike on each run.
+    Rows with a null lang or text, or a text above SAMPLE_BYTES, teach nothing
+    and don't count; the sample is by hash of doc_id, with ROWS_PER_KEY rows of
+    an id at most, so it is bounded and alike on each run.
     """
     rows = with_columns(docs, ["doc_id", "text", "lang"]).where(F.col("lang").isNotNull() & F.octet_length("text").between(1, SAMPLE_BYTES))
-    rows = label_sample(rows, "lang", per_language)
+    rows = few_of_a_key(label_sample(rows, "lang", per_language))
     texts: dict[str, list[str]] = {}
     for row in rows.select("lang", "text").collect():
         texts.setdefault(row.lang, []).append(row.text)

@@ -1,11 +1,14 @@
 """Exact Jaccard join of documents on word n-grams, by vertical partitioning.
 
-The global order of n-grams (by document frequency class, then hash) is cut into
-fragments.  A fragment knows in how many distinct sets each of its n-grams
-occurs, so it passes on only those that two sets share; a set of which less than
-the threshold is shared has no partner and goes.  Sets left over meet through
-the rarest of their n-grams (prefix, size and position bounds lose no pair);
-overlaps of a pair are counted fragment by fragment and summed.
+N-grams are cut into fragments by hash.  A fragment knows in how many distinct
+sets each of its n-grams occurs, so it passes on only those that two sets share;
+a set of which less than the threshold is shared has no partner and goes.  An
+n-gram that many sets of one batch hold is known to be shared there already: it
+is common, its sets go on by any fragment, and its own fragment hears of it once
+a batch.  The global order of n-grams is by class of document frequency, common
+ones last, then hash.  Sets left over meet through the first of their n-grams
+(prefix, size and position bounds lose no pair); overlaps of a pair are counted
+fragment by fragment and summed.
 """
 
 from __future__ import annotations
@@ -24,6 +27,10 @@ from .components import components
 from .shingles import shingle_sets
 
 _BITS = 48
+#: Sets of one batch that make an n-gram common, and the class of such n-grams.
+COMMON_SETS, COMMON_CLASS = 16, 63
+#: What a blob on its way to a fragment holds: postings of its range, common n-grams of its range, postings of common n-grams.
+_OWN, _COMMON, _PASSING = range(3)
 #: Postings that a task of the first fragments or of the regrouping holds at a time.
 POSTINGS_PER_FRAGMENT = 1_500_000
 #: Fragments of one set in which a pair's partial overlaps are counted.
@@ -39,13 +46,13 @@ def _keys(sets: list[np.ndarray]) -> list[bytes | None]:
 
 
 def _tags(keys: list[bytes]) -> np.ndarray:
-    raw = np.frombuffer(b"".join(k[:8] for k in keys), dtype="<u8")
-    return raw & np.uint64((1 << _BITS) - 1)
+    """64 bits of each key; two sets that share them would be found out, not mixed up (see _survivors)."""
+    return np.frombuffer(b"".join(k[:8] for k in keys), dtype="<u8")
 
 
-def _cut(values: np.ndarray, parts: int) -> np.ndarray:
+def _cut(values: np.ndarray, parts: int, bits: int = _BITS) -> np.ndarray:
     """Which of so many equal ranges of the order each value falls into."""
-    return ((values >> np.uint64(_BITS - 32)) * np.uint64(parts)) >> np.uint64(32)
+    return ((values >> np.uint64(bits - 32)) * np.uint64(parts)) >> np.uint64(32)
 
 
 def set_members(docs: DataFrame, n: int) -> DataFrame:
@@ -65,7 +72,7 @@ def set_members(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _postings(docs: DataFrame, n: int, parts: int) -> DataFrame:
-    """(part, blob): for each range of the order, a batch's n-grams and the tags of their sets."""
+    """(part, kind, blob): for each range of the order, a batch's n-grams and the tags of their sets; common ones apart."""
     mask = np.uint64((1 << _BITS) - 1)
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -75,59 +82,83 @@ def _postings(docs: DataFrame, n: int, parts: int) -> DataFrame:
                 sets.setdefault(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), s)
         if not sets:
             return None
-        grams = np.concatenate([np.unique(s & mask) for s in sets.values()])
-        sizes = [len(np.unique(s & mask)) for s in sets.values()]
-        tags = np.repeat(_tags(list(sets)), sizes)
+        each = [np.unique(s & mask) for s in sets.values()]
+        grams, tags = np.concatenate(each), np.repeat(_tags(list(sets)), [len(s) for s in each])
         order = np.argsort(grams, kind="stable")
         grams, tags = grams[order], tags[order]
+        begins = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
+        count = np.diff(np.r_[begins, len(grams)])
+        often = np.repeat(count >= COMMON_SETS, count)
+        out = []
+        if often.any():
+            common, passing = grams[begins[count >= COMMON_SETS]], _cut(tags[often], parts, 64)
+            # any fragment will do for these; by tag, sets of the batch spread over all
+            order = np.argsort(passing, kind="stable")
+            g, t, at = grams[often][order], tags[often][order], np.searchsorted(passing[order], np.arange(parts + 1, dtype=np.uint64))
+            out += [(int(p), _PASSING, pack(t[at[p] : at[p + 1]], 8) + pack(g[at[p] : at[p + 1]], 6)) for p in np.flatnonzero(np.diff(at))]
+            at = np.searchsorted(_cut(common, parts), np.arange(parts + 1, dtype=np.uint64))
+            out += [(int(p), _COMMON, pack(common[at[p] : at[p + 1]], 6)) for p in np.flatnonzero(np.diff(at))]
+            grams, tags = grams[~often], tags[~often]
         at = np.searchsorted(_cut(grams, parts), np.arange(parts + 1, dtype=np.uint64))
-        ids, blobs = [], []
         for p in np.flatnonzero(np.diff(at)):
             g, t = grams[at[p] : at[p + 1]], tags[at[p] : at[p + 1]]
-            steps = np.diff(g, prepend=g[:1])
-            body = pack(steps)
-            ids.append(int(p))
-            blobs.append(int(len(body)).to_bytes(4, "little") + int(g[0]).to_bytes(8, "little") + body + pack(t, 6))
-        return pa.record_batch({"part": pa.array(ids, pa.int32()), "blob": pa.array(blobs, pa.binary())})
+            body = pack(np.diff(g, prepend=g[:1]))
+            out.append((int(p), _OWN, int(len(body)).to_bytes(4, "little") + int(g[0]).to_bytes(8, "little") + body + pack(t, 8)))
+        ids, kinds, blobs = zip(*out, strict=True)
+        return pa.record_batch({"part": pa.array(ids, pa.int32()), "kind": pa.array(kinds, pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
-    return map_batches(with_columns(docs, ["text"]), one, "part int, blob binary", most=4 << 20)
+    return map_batches(with_columns(docs, ["text"]), one, "part int, kind int, blob binary", most=4 << 20)
 
 
 def _shared(postings: DataFrame, regroups: int) -> DataFrame:
     """Within a fragment, the n-grams of two sets or more, dealt by the tag of the set."""
 
     def fragment(table: pa.Table) -> pa.Table:
-        grams, tags = [], []
-        for blob in table.column("blob").to_pylist():
-            size = int.from_bytes(blob[:4], "little")
-            grams.append(np.cumsum(unpack(blob[12 : 12 + size])) + np.uint64(int.from_bytes(blob[4:12], "little")))
-            tags.append(unpack(blob[12 + size :]))
-        gram, tag = np.concatenate(grams), np.concatenate(tags)
+        grams, tags, common, by_tag, passing = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)], [np.empty(0, np.uint64)], [], []
+        for kind, blob in zip(table.column("kind").to_pylist(), table.column("blob").to_pylist(), strict=True):
+            if kind == _COMMON:
+                common.append(unpack(blob))
+            elif kind == _PASSING:
+                m = (len(blob) - 2) // 14
+                by_tag.append(unpack(blob[: 1 + 8 * m]))
+                passing.append(unpack(blob[1 + 8 * m :]))
+            else:
+                size = int.from_bytes(blob[:4], "little")
+                grams.append(np.cumsum(unpack(blob[12 : 12 + size])) + np.uint64(int.from_bytes(blob[4:12], "little")))
+                tags.append(unpack(blob[12 + size :]))
+        gram, tag, common = np.concatenate(grams), np.concatenate(tags), np.unique(np.concatenate(common))
         order = np.argsort(gram, kind="stable")
         gram, tag = gram[order], tag[order]
-        same = gram[1:] == gram[:-1]
-        twice = np.zeros(len(gram), bool)
-        twice[1:] |= same
-        twice[:-1] |= same
-        gram, tag = gram[twice], tag[twice]
+        known = np.zeros(len(gram), bool)
+        if len(common) and len(gram):
+            known = common[np.minimum(np.searchsorted(common, gram), len(common) - 1)] == gram
+        twice = known.copy()
+        if len(gram):
+            same = gram[1:] == gram[:-1]
+            twice[1:] |= same
+            twice[:-1] |= same
+        gram, tag, known = gram[twice], tag[twice], known[twice]
         order = np.lexsort((tag, gram))
-        gram, tag = gram[order], tag[order]
+        gram, tag, known = gram[order], tag[order], known[order]
         fresh = np.ones(len(gram), bool)
         fresh[1:] = (gram[1:] != gram[:-1]) | (tag[1:] != tag[:-1])
-        gram, tag = gram[fresh], tag[fresh]
+        gram, tag, known = gram[fresh], tag[fresh], known[fresh]
         begins = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]]) if len(gram) else np.empty(0, int)
         count = np.diff(np.r_[begins, len(gram)])
         each = np.repeat(count, count)
-        gram, tag, each = gram[each > 1], tag[each > 1], each[each > 1]
-        rank = np.floor(np.log2(np.maximum(each, 1))).astype(np.uint64)
-        group = _cut(tag, regroups)
+        kept = (each > 1) | known
+        gram, tag, each, known = gram[kept], tag[kept], each[kept], known[kept]
+        rank = np.where(known, COMMON_CLASS, np.floor(np.log2(np.maximum(each, 1)))).astype(np.uint64)
+        gram, tag = np.concatenate([gram, *passing]), np.concatenate([tag, *by_tag])
+        rank = np.r_[rank, np.full(len(gram) - len(rank), COMMON_CLASS, np.uint64)]
+        group = _cut(tag, regroups, 64)
         order = np.argsort(group, kind="stable")
         gram, tag, rank, group = gram[order], tag[order], rank[order], group[order]
         ids, blobs = [], []
         at = np.searchsorted(group, np.arange(regroups + 1, dtype=np.uint64))
         for g in np.flatnonzero(np.diff(at)):
             cut = slice(at[g], at[g + 1])
-            body = pack(tag[cut], 6) + pack(gram[cut], 6) + pack(rank[cut], 1)
+            body = pack(tag[cut], 8) + pack(gram[cut], 6) + pack(rank[cut], 1)
             ids.append(int(g))
             blobs.append(body)
         give_back()
@@ -143,7 +174,7 @@ def _heads(sets: DataFrame, regroups: int) -> DataFrame:
         keys = batch.column(0).to_pylist()
         if not keys:
             return None
-        group = _cut(_tags(keys), regroups)
+        group = _cut(_tags(keys), regroups, 64)
         sizes = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), dtype="<u8")
         ids, blobs = [], []
         for g in np.unique(group):
@@ -167,14 +198,19 @@ def _survivors(rows: DataFrame, share: int) -> DataFrame:
                 body = blob[1 + 6 * n :]
                 keys += [body[16 * i : 16 * i + 16] for i in range(n)]
             else:
-                n = (len(blob) - 3) // 13
-                parts.append((unpack(blob[: 1 + 6 * n]), unpack(blob[1 + 6 * n : 2 + 12 * n]), unpack(blob[2 + 12 * n :])))
+                n = (len(blob) - 3) // 15
+                parts.append((unpack(blob[: 1 + 8 * n]), unpack(blob[1 + 8 * n : 2 + 14 * n]), unpack(blob[2 + 14 * n :])))
         out = {"key": [], "n": [], "grams": [], "prefix": []}
         if keys and parts:
             tag, gram, rank = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.lexsort((gram, rank, tag))
             tag, gram = tag[order], gram[order]
+            # the same set from two batches passes its common n-grams on twice
+            fresh = np.r_[True, (tag[1:] != tag[:-1]) | (gram[1:] != gram[:-1])]
+            tag, gram = tag[fresh], gram[fresh]
             mine, size = _tags(keys), np.concatenate(sizes).astype(np.int64)
+            if len(np.unique(mine)) < len(mine):
+                raise RuntimeError("two sets share 64 bits of their keys")
             low, high = np.searchsorted(tag, mine, "left"), np.searchsorted(tag, mine, "right")
             for i in np.flatnonzero((high - low) * 100 >= share * size):
                 own, n = gram[low[i] : high[i]].astype(np.int64), int(size[i])
