@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from weftline.llm import language_id
-from weftline.llm.language_id import ORDER, build_model, fit_language_id, identify_language
+from weftline.llm.language_id import ORDER, build_model, fit_language_id, identify_language, in_known_language
 from weftline.llm.shingles import _LOWER, text_bytes
 
 
@@ -68,3 +68,22 @@ def test_rows_that_teach_nothing_do_not_crowd_out_texts(spark, monkeypatch):
     text = F.when(F.col("id") < 200, F.concat(F.lit("Wort "), F.col("id"))).when(F.col("id") % 2 == 0, "").when(F.col("id") % 1000 == 1, F.repeat(F.lit("Wort "), 20_000))
     docs = spark.range(20_000).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("de").alias("lang"))
     assert fit_language_id(docs) == {"de": sorted(f"Wort {i}" for i in range(200))}
+
+
+def test_documents_in_a_known_language_stay(spark):
+    model = build_model({"en": EN * 5, "de": DE * 5})
+    rows = [(1, "The dog and the cat sat there."), (2, "Der Mann und der Hund"), (2, "Der Mann und der Hund"), (3, None), (4, ""), (5, "123 !!"), (None, "the mat"), (6, "\u8a9e\u6587\u5b57" * 30), (7, "the dog " * 20_000)]
+    docs = spark.createDataFrame([(*r, "x", 1.0) for r in rows], "doc_id long, text string, lang string, score double")
+    got = in_known_language(docs, model)
+    assert got.columns == docs.columns
+    assert sorted(str(r.doc_id) for r in got.collect()) == ["1", "2", "2", "7", "None"]
+    # bits a byte by the plain reckoning, for those that have a letter
+    low = {r[0]: min(plain_bits(t * 5, r[1]) for t in (EN, DE)) / len(r[1].encode()) for r in rows if r[0] in (1, 2, 6)}
+    assert {i for i, bits in low.items() if bits < 7.6} == {1, 2}
+    assert in_known_language(docs.limit(0), model).collect() == [] == in_known_language(docs, build_model({})).collect()
+
+
+def test_a_repeated_row_does_not_fill_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "build_model", lambda texts: {k: len(v) for k, v in texts.items()})
+    docs = spark.range(9000).select(F.when(F.col("id") < 3000, 7).otherwise(F.col("id")).alias("doc_id"), F.lit("Wort").alias("text"), F.lit("de").alias("lang"))
+    assert fit_language_id(docs, 9000)["de"] == 6008

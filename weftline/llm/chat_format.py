@@ -169,5 +169,10 @@ def control_conversation(like: DataFrame) -> DataFrame:
 
 
 def all_turns(conversations: DataFrame) -> DataFrame:
+    """(conv_id, turn, role, text) of conversations (those columns among others) and of the control conversation.
+
+    Nulls in any column and repeated rows are kept as they are; of no rows, the
+    control conversation is left.
+    """
     turns = with_columns(conversations, ["conv_id", "turn", "role", "text"]).withColumn("turn", F.col("turn").cast("long"))
     return turns.unionByName(control_conversation(conversations))

@@ -19,10 +19,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: later reads survive lost executors."""
+    """Writes df as a table in the shared folder and reads it back: later reads survive lost executors.
+
+    The table goes when the application ends, not before: results may still read it.
+    """
     spark = reachable(df.sparkSession)
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(there)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -320,7 +320,11 @@ def contaminated_passages(docs: DataFrame, benchmark: DataFrame, least: float =
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of docs, with all their columns, that hold a copy of no benchmark item (as contaminated_passages finds them)."""
+    """The rows of docs, with all their columns, that hold a copy of no benchmark item (as contaminated_passages finds them).
+
+    Null and blank texts stay; repeated rows and null ids stay or go as their
+    texts do; an empty benchmark keeps all rows; no rows in: none out.
+    """
     for bench in _parts(benchmark, least):
         sent = docs.sparkSession.sparkContext.broadcast(bench)
 

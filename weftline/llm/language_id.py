@@ -219,7 +219,9 @@ def in_known_language(docs: DataFrame, model: LanguageModel, most_bits: float =
     """The rows of docs, with all their columns, that identify_language doesn't call und and codes in fewer bits a byte than most_bits.
 
     That is little under the 8 bits of unknown bytes, so it keeps any text that
-    has to do with a language of the model, junk and mixtures included.
+    has to do with a language of the model, junk and mixtures included.  Null and
+    empty texts, and all texts if the model has no language, go; repeated rows
+    and null ids stay as often as they are there; no rows in: none out.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     letter = regex.compile(r"\p{L}")

@@ -422,6 +422,10 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5
 
 
 def without_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs, with all their columns, whose score_toxicity is under threshold."""
+    """The rows of docs, with all their columns, whose score_toxicity is under threshold.
+
+    Null, empty and letterless texts have the lowest score and stay; repeated
+    rows and null ids stay or go as their texts do; no rows in: none out.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     return keep_rows(docs, ["text"], lambda batch: sent.value.score(batch.column(0)) < threshold)
