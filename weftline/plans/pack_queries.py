@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from weftline.functions import scalars as S
 from weftline.operators.transform import Converter
 from weftline.plans import cache, rebuild, sample_tool, samples, statements
+from weftline.plans.identity import described, linked_models
 from weftline.plans.packer import pack
 from weftline.plans.prune import prune
 from weftline.plans.registry import query
@@ -256,3 +257,38 @@ def size_texts(orders):
     key = F.col("o_orderkey")
     n = F.when(key % 4 == 0, key).when(key % 4 == 1, key * 1024).otherwise(F.floor(F.col("o_totalprice") * 10000)).cast("long")
     return orders.select("o_orderkey", S.human_size(n).alias("text"), S.parse_size(F.concat((key % 1000).cast("string"), F.lit(" mb"))).alias("parsed"))
+
+
+@query(f"select r_name || '-' || kind || '.gguf' name, 'gguf' klass, true folded from region, {_KINDS}", "region")
+def folder_scan(region):
+    """The files of a folder by kind, each folded to a digest in a task."""
+    folder, _, _ = packed(region)
+    return digests(scan_folder(region.sparkSession, folder)).select("name", "klass", (F.length("sha256") == 64).alias("folded"))
+
+
+@query(
+    f"""select r_name || '-' || kind || '.gguf' name, role, case when kind not in ('f16', 'odd') then r_name || '-f16.gguf' end source,
+    case when kind = 'odd' then 'not parseable' end note from region, {_KINDS}""",
+    "region",
+)
+def model_links(region):
+    """Which file derives from which: all sources have the same tensors, so names decide."""
+    folder, _, _ = packed(region)
+    spark = region.sparkSession
+    paths = sorted(r.path for r in scan_folder(spark, folder).collect())
+    links = linked_models(described(read_layouts(spark, paths)))
+    return links.select("name", "role", "source", F.substring_index("note", ":", 1).alias("note"))
+
+
+@query(
+    f"""select r_name || '-' || kind || '.gguf' name, r_name stem, case kind when 'Q4_K_L' then 'Q4_K' when 'f16' then 'F16' else kind end dominant, coalesce(qtype, 'F16') first_candidate
+    from region, {_KINDS} where kind <> 'odd'""",
+    "region",
+)
+def model_types(region):
+    """Stem, commonest tensor type and the recipe to try first for each file that can be read."""
+    folder, _, _ = packed(region)
+    spark = region.sparkSession
+    paths = sorted(r.path for r in scan_folder(spark, folder).collect())
+    rows = described(read_layouts(spark, paths)).where("parse_error is null")
+    return rows.select("name", "stem", "dominant", F.try_element_at("candidates", F.lit(1)).alias("first_candidate"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weftline.functions import scalars as S
@@ -42,10 +43,10 @@ def content_addressed_upsert(documents):
     "documents",
 )
 def first_occurrence_cost(documents):
-    # one pass: a blob's sums by source, the first source of each blob by its first document there
+    # one pass: sums by blob and source, then which of a blob's sources comes first
     own = documents.groupBy(digest("text").alias("blob"), "source").agg(F.sum("n_chars").alias("orig"), F.min(F.struct("doc_id", "n_chars")).alias("first"))
-    each = own.groupBy("blob").agg(F.min(F.struct("source", "first")).alias("top"), F.collect_list(F.struct("source", "orig")).alias("sums"))
-    rows = each.select("top", F.explode("sums").alias("s")).select("s.source", "s.orig", F.when(F.col("s.source") == F.col("top.source"), F.col("top.first.n_chars")).otherwise(0).alias("stored"))
+    top = F.min(F.struct("source")).over(Window.partitionBy("blob"))
+    rows = own.select("source", "orig", F.when(F.struct("source") == top, F.col("first.n_chars")).otherwise(0).alias("stored"))
     return rows.groupBy("source").agg(F.sum("orig").alias("orig"), F.sum("stored").alias("stored"))
 
 
