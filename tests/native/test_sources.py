@@ -5,7 +5,7 @@ import tempfile
 
 import files
 import pytest
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -116,6 +116,7 @@ def test_chunks_and_deltas(tmp_path, spark):
     assert nonzero(xor(data, data)) == 0 and read_chunks(spark, str(tmp_path / "a"), 4, 0).count() == 0
 
 
+@settings(deadline=None)
 @given(st.binary(max_size=60), st.lists(st.integers(1, 17), max_size=8))
 def test_a_delta_however_it_is_cut(data, sizes):
     with tempfile.NamedTemporaryFile() as file:
@@ -189,6 +190,7 @@ def test_scalars(spark):
     assert one(spark, S.substitute(F.array(F.lit("a")), F.lit("p"))) == ["a", "p"]
 
 
+@settings(deadline=None)
 @given(st.text("ab-", max_size=6), st.text("ab-", max_size=6))
 def test_common_prefix(spark, a, b):
     assert one(spark, S.common_prefix_length(F.lit(a), F.lit(b))) == len(os.path.commonprefix([a, b]))
